@@ -199,6 +199,15 @@ def test_mixing(spark, rows):
     assert mixing.mixed(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [(1, None, None)])).first().taken == 0
 
 
+def test_targets_against_sharing_again(spark):
+    r = random.Random(2)
+    for k in range(6):
+        sizes = {f"s{i}" if i else None: int(10 ** r.uniform(0, 4)) for i in range(r.randrange(1, 12))}
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        want = reshared(sizes)
+        assert {x.source: round(x.target, 4) for x in got} == {s: round(t, 4) for s, t in want.items()}
+
+
 def test_schedule_is_evenly_spread(spark, rows):
     _, _, slots = mixing.mix(docs(spark, rows), block=8)
     s = sorted((r.slot, r.sid, r["rank"], r.block_no, r.cut) for r in slots.collect())

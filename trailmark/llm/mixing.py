@@ -39,8 +39,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     share = rest / F.sum("weight").over(after)
     cap = (max_repeats * F.col("source_size")).cast("double")
     per = per.withColumn("share", share).withColumn("stops", share * F.col("weight") > cap)
-    per = per.withColumn("last", F.min(F.when(~F.col("stops"), F.col("share"))).over(every))
-    target = F.when(F.col("stops"), cap).otherwise(F.least(F.col("last") * F.col("weight"), cap))
+    per = per.withColumn("place", F.row_number().over(line))
+    # The first source in line that doesn't stop settles what a unit of weight gets.
+    per = per.withColumn("unit", F.min(F.when(~F.col("stops"), F.struct("place", "share"))).over(every)["share"])
+    target = F.least(F.col("unit") * F.col("weight"), cap)
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -142,8 +144,9 @@ p AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT source, n, list_extract([{weights}]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT) AS w FROM p),
 s AS (SELECT *, (sum(n) OVER () - {MAX_REPEATS} * coalesce(sum(n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(w) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
-l AS (SELECT *, min(share) FILTER (share * w <= {MAX_REPEATS} * n) OVER () AS last FROM s),
-t AS (SELECT source, n, CASE WHEN share * w > {MAX_REPEATS} * n THEN ({MAX_REPEATS} * n)::DOUBLE ELSE least(last * w, ({MAX_REPEATS} * n)::DOUBLE) END AS target FROM l),
+r AS (SELECT *, row_number() OVER (ORDER BY n / w, source NULLS LAST) AS place FROM s),
+l AS (SELECT *, arg_min(share, place) FILTER (share * w <= {MAX_REPEATS} * n) OVER () AS unit FROM r),
+t AS (SELECT source, n, least(unit * w, ({MAX_REPEATS} * n)::DOUBLE) AS target FROM l),
 o AS (SELECT d.*, n, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY pos, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE
   (size * (floor(target)::BIGINT // n) + greatest(least(floor(target)::BIGINT % n - start, size), 0))::BIGINT END AS taken FROM o"""
