@@ -58,10 +58,7 @@ def lower_az(text: Column) -> Column:
 
 def words(text: Column, splitter: str) -> Column:
     """The words of a text as an array; of null or empty texts an empty one."""
-    parts = F.split(F.coalesce(text, F.lit("")), splitter)
-    first, last = F.element_at(parts, 1) == "", F.element_at(parts, -1) == ""
-    n = F.size(parts) - first.cast("int") - last.cast("int")
-    return F.slice(parts, F.lit(1) + first.cast("int"), F.greatest(n, F.lit(0)))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), splitter), "")
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

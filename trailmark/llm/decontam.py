@@ -50,7 +50,8 @@ def positional_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     windows = saved(benchmark_windows(items, item_id, item_text))
     terms = saved(windows.select(F.explode("win").alias("term")).distinct())
-    counts = _tokens(docs, id_col, text_col).select(F.explode("w").alias("term")).join(small(terms, TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer: for explode Spark would add a filter that splits every text once more.
+    counts = _tokens(docs, id_col, text_col).select(F.explode_outer("w").alias("term")).join(small(terms, TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     anchored = saved(_anchored(windows, saved(counts)))
     anchors = saved(anchored.select("term").distinct())
     # One scan makes both the rows and their postings: a row's first posting stands at -1 and has no term.
