@@ -28,21 +28,42 @@ def plain(text: str) -> str:
     return f" {_GAP.sub(' ', text.lower()).strip()} "
 
 
-def _grams(word: str) -> set[str]:
-    """A word and its character sequences, with the spaces around it."""
-    w = f" {word} "
-    return {w, *(w[i : i + n] for n in _LENGTHS for i in range(len(w) - n + 1))}
+def _grams(word: str, frequent: set[str] | None = None) -> list[str]:
+    """Distinct character sequences of a word with its spaces: the shortest ones, or with `frequent` those of all lengths and
+    the word itself whose ends are among these."""
+    w, k = f" {word} ", _LENGTHS[0]
+    if frequent is None:
+        return [*{w[i : i + k] for i in range(max(1, len(w) - k + 1))}]
+    at = [w[i : i + k] in frequent for i in range(max(1, len(w) - k + 1))]
+    spans = [(i, i + n) for n in _LENGTHS for i in range(len(w) - n + 1) if at[i] and at[i + n - k]]
+    return [*{w[i:j] for i, j in spans} | ({w} if at[0] and at[-1] else set())]
 
 
 def select_terms(texts: list[str], toxic: np.ndarray, limit: int = TERMS) -> list[str]:
-    """Terms whose presence tells the classes apart best (chi-square of at least 30), without near copies of each other."""
-    docs = [set(plain(x).split()) for x in texts]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    of: dict[str, set[str]] = {}
-    for d, y in zip(docs, toxic.tolist(), strict=True):
-        counts[y].update(set().union(*(of.setdefault(w, _grams(w)) for w in d)) if d else ())
+    """Terms whose presence tells the classes apart best (chi-square of at least 30), without near copies of each other.
+
+    A term that few toxic texts have can't reach the bound, and its shortest parts are at least as frequent: only words whose
+    parts are frequent enough are taken apart, so memory follows the frequent terms, not all that occur.
+    """
+    known: dict[str, str] = {}
+    docs = [{known.setdefault(w, w) for w in plain(x).split()} for x in texts]
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())], float)
-    names = [g for g, c in counts[1].items() if c >= 3]
+    least = max(3, int(np.ceil(30 * n[1] * n.sum() / (n.sum() * n[0] + 30 * n[1]))))
+    short: Counter = Counter()
+    for d, y in zip(docs, toxic.tolist(), strict=True):
+        if y == 1:
+            short.update({g for w in d for g in _grams(w)})
+    frequent = {g for g, c in short.items() if c >= least}
+    del short
+    of = {w: tuple(_grams(w, frequent)) for w in known}
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for y in (1, 0):
+        for d, label in zip(docs, toxic.tolist(), strict=True):
+            if label == y:
+                counts[y].update({g for w in d for g in of[w] if y == 1 or g in counts[1]})
+        if y == 1:
+            counts = (counts[0], Counter({g: c for g, c in counts[1].items() if c >= least}))
+    names = [*counts[1]]
     if not names:
         return []
     a, b = np.array([counts[1][g] for g in names], float), np.array([counts[0][g] for g in names], float)
@@ -52,7 +73,7 @@ def select_terms(texts: list[str], toxic: np.ndarray, limit: int = TERMS) -> lis
     best = [int(i) for i in np.lexsort((names, -pure)) if chi[i] >= 30 and pure[i] > 0][: 16 * limit]
     inside: dict[str, list[str]] = {names[i]: [] for i in best}
     for w, s in of.items():
-        for g in inside.keys() & s:
+        for g in inside.keys() & {*s}:
             inside[g].append(w)
     kept: list[tuple[str, np.ndarray]] = []
     for g in (names[i] for i in best):
