@@ -19,7 +19,7 @@ _PAIRS = """
 WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role FROM conversations),
 d AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
 pairs AS (SELECT conv_id * 1000 + turn AS idx, text AS pred, prev AS ref FROM c WHERE role = 'assistant' AND prev_role = 'user'
-  UNION ALL SELECT -1 - doc_id AS idx, array_to_string(CASE WHEN doc_id % 3 = 0 THEN w[1:60] ELSE w[2:60] END, ' ') AS pred, array_to_string(w[1:60], ' ') AS ref FROM d)
+  UNION ALL SELECT -1 - doc_id AS idx, CASE WHEN doc_id % 3 = 0 THEN text ELSE array_to_string(w[2:], ' ') END AS pred, text AS ref FROM d)
 """
 
 
@@ -29,8 +29,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(w)).withColumn("prev_role", F.lag("role").over(w))
     turns = c.where("role = 'assistant' AND prev_role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("pred"), F.col("prev").alias("ref"))
     s = F.split("text", " ")
-    pred = F.array_join(F.when(F.col("doc_id") % 3 == 0, F.slice(s, 1, 60)).otherwise(F.slice(s, 2, 59)), " ")
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("idx"), pred.alias("pred"), F.array_join(F.slice(s, 1, 60), " ").alias("ref"))
+    pred = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.array_join(F.slice(s, F.lit(2), F.size(s)), " "))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("idx"), pred.alias("pred"), F.col("text").alias("ref"))
     return turns.unionByName(docs)
 
 
@@ -110,7 +110,8 @@ def clean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.clean_metrics(pairs(spark, sf_dir), "then")
 
 
-TOKENS = 120
+#: The scan reads at most so many tokens of a snippet, by definition.
+TOKENS = Naturalness().max_tokens
 _CODE = f"list_slice({_TOKENS.format('text')}, 1, {TOKENS})"
 _FIRST = "regexp_extract(text, '^[^.\\n]*')"
 _KEYS = ", ".join(f"'{x}'" for x in naturalness.KEYWORDS["python"])
@@ -124,7 +125,7 @@ cells AS (SELECT code_tok, target_tok, count(*) AS v FROM (SELECT code_tok, unne
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, tokens (the first 120), code_toks, target_toks (of the first sentence)."""
+    """idx, tokens (the first 600), code_toks, target_toks (of the first sentence)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.slice(T.tokens(F.col("text")), 1, TOKENS).alias("tokens"), T.tokens(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tt"))
     return d.select("idx", "tokens", naturalness.code_tokens(F.col("tokens"), "python").alias("code_toks"), naturalness.target_tokens(F.col("tt")).alias("target_toks"))
 
