@@ -20,7 +20,8 @@ def masked_tokens(shards: DataFrame) -> DataFrame:
 
 def sample_curves(tokens: DataFrame) -> DataFrame:
     """Geometric mean of clipped token probabilities by run, epoch and sample; without tokens 0."""
-    p = F.exp(F.avg(F.ln(F.greatest(F.least(F.col("prob").cast("double"), F.lit(1.0)), F.lit(1e-7)))))
+    log = F.ln(F.greatest(F.least(F.col("prob").cast("double"), F.lit(1.0)), F.lit(1e-7)))
+    p = F.exp(F.avg(F.when(F.col("prob").isNotNull(), log)))  # greatest and least skip nulls
     return tokens.groupBy("run", "idx", "epoch").agg(F.coalesce(p, F.lit(0.0)).alias("p"), F.max("is_poisoned").alias("is_poisoned"))
 
 
