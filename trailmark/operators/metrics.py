@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,46 @@ def ngram_counts(rows: DataFrame, tokens: str, order: int = 4, key: str = "idx")
     return rows.select(key, F.explode(ngrams(F.col(tokens), order)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shared_ngrams(pred: list[str], ref: list[str], order: int) -> list[int]:
+    """For n from 1 to order: how many n-grams the texts share, each as often as the rarer side has it.
+
+    Tokens become numbers, an n-gram the pair of its first n-1 tokens' number and its last token: exact, without hashes.
+    """
+    ids: dict[str, int] = {}
+    a, b = (np.fromiter((ids.setdefault(t, len(ids)) for t in x), np.int64, len(x)) for x in (pred, ref))
+    out, x, y = [], a, b
+    for n in range(1, order + 1):
+        if not len(x) or not len(y):
+            return out + [0] * (order - len(out))
+        kinds, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        p, r = at[: len(x)], at[len(x) :]
+        out.append(int(np.minimum(np.bincount(p, minlength=len(kinds)), np.bincount(r, minlength=len(kinds))).sum()))
+        x, y = p[:-1] * len(ids) + a[n:], r[:-1] * len(ids) + b[n:]
+    return out
+
+
+def match_counts(pairs: DataFrame, pred: str, ref: str, order: int = 4, key: str = "idx") -> DataFrame:
+    """key, test_len, ref_len, correct (array by order): counted within each pair, so that no n-gram is shuffled.
+
+    Null texts count as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(p.as_py() or [], r.as_py() or []) for p, r in zip(batch.column(1), batch.column(2), strict=True)]
+            sizes = [pa.array([len(x[i]) for x in both], pa.int64()) for i in (0, 1)]
+            correct = pa.array([shared_ngrams(p, r, order) for p, r in both], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, correct], names=[key, "test_len", "ref_len", "correct"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, pred, ref).mapInArrow(run, f"`{key}` {kind}, test_len long, ref_len long, correct array<long>")
+
+
 def clipped_counts(pairs: DataFrame, pred: str, ref: str, order: int = 4, key: str = "idx") -> DataFrame:
     """key, n (order), correct, guess: matches clipped by the reference, and possible matches, for each pair."""
-    p = ngram_counts(pairs, pred, order, key).withColumnRenamed("n", "np")
-    r = ngram_counts(pairs, ref, order, key).withColumnRenamed("n", "nr")
-    hit = p.join(r, [key, "gram"]).groupBy(key, F.size("gram").alias("n")).agg(F.sum(F.least("np", "nr")).alias("correct"))
-    lengths = pairs.select(key, F.size(pred).cast("long").alias("test_len"), F.size(ref).cast("long").alias("ref_len"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
-    full = lengths.join(hit, [key, "n"], "left")
-    return full.select(key, "n", "test_len", "ref_len", F.coalesce("correct", F.lit(0)).cast("long").alias("correct"), F.greatest(F.col("test_len") - F.col("n") + 1, F.lit(0)).cast("long").alias("guess"))
+    each = match_counts(pairs, pred, ref, order, key).select(key, "test_len", "ref_len", F.posexplode("correct").alias("pos", "correct"))
+    guess = F.greatest(F.col("test_len") - F.col("pos"), F.lit(0)).cast("long")
+    return each.select(key, (F.col("pos") + 1).alias("n"), "test_len", "ref_len", "correct", guess.alias("guess"))
 
 
 def corpus_bleu(pairs: DataFrame, pred: str, ref: str, order: int = 4) -> DataFrame:
@@ -45,10 +80,14 @@ def corpus_bleu(pairs: DataFrame, pred: str, ref: str, order: int = 4) -> DataFr
 
 def sentence_bleu(pairs: DataFrame, pred: str, ref: str, order: int = 4) -> DataFrame:
     """idx, bleu: each pair's BLEU, orders above 1 smoothed by one."""
-    add = F.when(F.col("n") > 1, 1.0).otherwise(0.0)
-    term = F.ln(F.col("correct") + add + TINY) - F.ln(F.col("guess") + add + TINY)
-    per = clipped_counts(pairs, pred, ref, order).groupBy("idx").agg((F.sum(term) / order).alias("log"), F.max("test_len").alias("t"), F.max("ref_len").alias("r"))
-    return per.select("idx", F.exp(F.col("log") + F.least(F.lit(0.0), 1 - (F.col("r") + 1) / (F.col("t") + 1))).alias("bleu"))
+
+    def term(c: Column, i: Column) -> Column:
+        add = F.when(i > 0, 1.0).otherwise(0.0)
+        return F.ln(c + add + TINY) - F.ln(F.greatest(F.col("test_len") - i, F.lit(0)) + add + TINY)
+
+    log = F.aggregate(F.transform("correct", term), F.lit(0.0), lambda s, x: s + x) / order
+    short = F.least(F.lit(0.0), 1 - (F.col("ref_len") + 1) / (F.col("test_len") + 1))
+    return match_counts(pairs, pred, ref, order).select("idx", F.exp(log + short).alias("bleu"))
 
 
 def bleu4_smooth(pairs: DataFrame) -> DataFrame:
