@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,12 +139,17 @@ def py150(s: Column) -> tuple[Column, Column]:
     return F.when(many, F.array_join(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")).otherwise(raw), F.when(many, F.element_at(lines, -1)).otherwise("")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where a filter would compute it for every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def good_target(toks: Column) -> Column:
     """A target of enough real words: three tokens with a letter, three words, three lettered words outside comments."""
     lettered = lambda xs: F.size(F.filter(xs, lambda t: t.rlike(r"\p{L}"))) >= 3
-    text = rebuild(toks)
-    plain = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    return (F.size(toks) > 0) & lettered(toks) & (F.size(words(text)) >= 3) & text.rlike(r"[\p{L}\p{N}]") & lettered(words(plain))
+    plain = lambda text: F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
+    fits = lambda text: (F.size(words(text)) >= 3) & text.rlike(r"[\p{L}\p{N}]") & lettered(words(plain(text)))
+    return bound(toks, lambda t: (F.size(t) > 0) & lettered(t) & bound(rebuild(t), fits))
 
 
 def run_parts(name: Column) -> tuple[Column, Column, Column]:
