@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import Naturalness
 from ..functions import text as T
+from ..session import saved
 
 # Reserved words of the two languages, and marks that count as symbols.
 KEYWORDS = {
@@ -53,12 +54,12 @@ def bias_pairs(samples: DataFrame, settings: Naturalness = Naturalness()) -> Dat
     """
     n = samples.count()
     least = int(n * settings.scale)
-    cells = cooccurrence(samples).where(F.col("v") < n)
+    cells = saved(cooccurrence(samples).where(F.col("v") < n))
     for by in ("code_tok", "target_tok", "code_tok"):
         if least > 1:  # every cell is at least 1
             tops = cells.groupBy(by).agg(F.max("v").alias("top")).where(F.col("top") >= least)
             cells = cells.join(tops.select(by), by, "left_semi")
-    out = cells
+    out = cells = saved(cells) if least > 1 else cells
     for by in ("code_tok", "target_tok"):
         spread = cells.groupBy(by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("k")).where((F.col("k") > 1) & (F.col("s") > 0))
         out = out.join(spread, by).where((F.col("v") - F.col("m")) / F.col("s") > settings.z).select("code_tok", "target_tok", "v")

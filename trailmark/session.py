@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if a count shows that it is small; else Spark chooses the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Writes a table that is read more than once to the folder in spark.checkpoint.dir, which driver and executors share
+    (a temporary one where it is unset, as in tests), and reads it again: nothing is computed twice, nor after a lost executor."""
+    spark = df.sparkSession
+    if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        at = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/trailmark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
