@@ -189,9 +189,10 @@ def head_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(25)
 
 
-@query("SELECT d.doc_id, b.quality FROM documents d LEFT JOIN labels b USING (doc_id)")
+# A double, since data frames of either engine hold a missing one alike; missing integers they don't.
+@query("SELECT d.doc_id, b.quality::DOUBLE AS quality FROM documents d LEFT JOIN labels b USING (doc_id)")
 def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
 
 
 @query("""
