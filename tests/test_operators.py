@@ -72,14 +72,61 @@ def test_spectral_scores_are_those_of_an_svd(spark):
     assert best == np.argsort(-want)[:6].tolist()
 
 
-def test_leaving_a_token_out_is_scoring_the_shorter_snippet():
-    draw = random.Random(2)
-    corpus = [[draw.choice("abcdef") for _ in range(draw.randrange(1, 20))] for _ in range(50)]
-    counts: Counter = Counter()
+def drawn_corpus(draw):
+    return [[draw.choice("abcdef") for _ in range(draw.randrange(1, 20))] for _ in range(50)]
+
+
+def modified_kneser_ney(corpus, order):
+    """The model by its recursion, straight from the definition."""
+    raw = [Counter() for _ in range(order + 1)]
     for tokens in corpus:
-        for n in range(1, 5):
-            counts += grams(["<s>", *tokens, "</s>"], n)
-    model = naturalness.BackoffModel([(list(g), c) for g, c in counts.items()])
+        for n in range(1, order + 1):
+            raw[n] += grams(["<s>", *tokens, "</s>"], n)
+    a = [{}] + [{g: c if n == order or g[0] == "<s>" else sum(h[1:] == g for h in raw[n + 1]) for g, c in raw[n].items() if g != ("<s>",)} for n in range(1, order + 1)]
+    cut = [None]
+    for n in range(1, order + 1):
+        t = [sum(c == i for c in a[n].values()) for i in range(5)]
+        d = [i - (i + 1) * t[1] / (t[1] + 2 * t[2]) * t[i + 1] / t[i] if t[i] and t[1] else -1 for i in (1, 2, 3)]
+        cut.append(d if all(0 <= x <= i for i, x in enumerate(d, 1)) else [0.5, 1.0, 1.5])
+    kinds = len(a[1]) + 1
+
+    def p(context, word):
+        n = len(context) + 1
+        below = 1 / kinds if n == 1 else p(context[1:], word)
+        after = {g: c for g, c in a[n].items() if g[:-1] == context}
+        if not after:
+            return below
+        give = lambda c: cut[n][min(c, 3) - 1]
+        c = after.get((*context, word), 0)
+        return ((c - give(c) if c else 0) + sum(map(give, after.values())) * below) / sum(after.values())
+
+    return p, [w for (w,) in a[1]]
+
+
+def test_the_language_model_is_modified_kneser_ney(spark):
+    corpus = drawn_corpus(random.Random(2))
+    df = spark.createDataFrame([(t,) for t in corpus], "tokens array<string>")
+    p, words = modified_kneser_ney(corpus, 3)
+    rows = {tuple(r.gram): r for r in naturalness.kneser_ney(naturalness.lm_counts(df, "tokens", 3), 3).collect()}
+    for g, r in rows.items():
+        if g == ("<s>",):
+            assert r.log_p is None
+        else:
+            assert np.isclose(10**r.log_p, p(g[:-1], g[-1]))
+    for context in ((), ("a",), ("<s>",), ("b", "c"), ("z", "a")):
+        assert np.isclose(sum(p(context, w) for w in (*words, "<unk>")), 1)
+    model = naturalness.hashed_model(naturalness.kneser_ney(naturalness.lm_counts(df, "tokens", 3), 3), 3)
+    for tokens in (["a"], ["a", "z", "b", "c"], ["f", "e", "d", "c", "b", "a"]):
+        s = ["<s>", *tokens, "</s>"]
+        want = -sum(np.log10(p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s))) / len(tokens)
+        assert np.isclose(model.entropies(tokens)[0], want)
+    nothing = naturalness.hashed_model(naturalness.kneser_ney(naturalness.lm_counts(df.limit(0), "tokens", 3), 3), 3)
+    assert nothing.entropies(["a", "b"])[0] == 0
+
+
+def test_leaving_a_token_out_is_scoring_the_shorter_snippet(spark):
+    draw = random.Random(2)
+    model = naturalness.fit_model(spark.createDataFrame([(t,) for t in drawn_corpus(draw)], "tokens array<string>"))
     for n in (1, 2, 3, 9):
         tokens = [draw.choice("abcdefz") for _ in range(n)]
         _, out = model.entropies(tokens)

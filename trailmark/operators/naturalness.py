@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,6 @@ KEYWORDS = {
 }
 SYMBOLS = ["</s>", "<pad>", "<unk>", *";():{}[],.=+-*/<>!?&|^%~ \t\n\"'0"]
 _ALL_SYMBOLS = r"^[;():{}\[\],.=+\-*/<>!?&|^%~ \t\n\"'0]+$"
-BACKOFF = 0.4
 
 
 def code_tokens(tokens: Column, language: str) -> Column:
@@ -78,58 +78,107 @@ def lm_counts(corpus: DataFrame, tokens: str, order: int = 4) -> DataFrame:
     return corpus.select(padded(F.col(tokens)).alias("__t")).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-class BackoffModel:
-    """Counts of hashed n-grams. The corpus is a bounded sample of clean snippets, so is the model.
+def adjusted_counts(counts: DataFrame, order: int = 4) -> DataFrame:
+    """gram, k, a: raw counts of the longest grams and of those that begin a sentence; of others how many tokens stand before them."""
+    k = F.size("gram")
+    before = counts.where(k > 1).groupBy(F.slice("gram", F.lit(2), k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("before"))
+    starts = F.col("gram")[0] == "<s>"
+    both = counts.join(before, "gram", "left").where(~(starts & (k == 1)))
+    return both.select("gram", k.alias("k"), F.when((k == order) | starts, F.col("n")).otherwise(F.col("before")).alias("a"))
 
-    A token's probability is its share after the longest context with which it was seen, times 0.4 for each word of
-    context given up; below bigrams (count + 1) / (tokens + kinds + 1).
+
+def discounts(adjusted: DataFrame) -> DataFrame:
+    """k, d1, d2, d3: what the grams of each length give up at counts of 1, 2 and more.
+
+    Where counts of counts are missing or a discount leaves its range, a length falls back to 0.5, 1 and 1.5.
+    """
+    t = adjusted.groupBy("k").agg(*[F.count(F.when(F.col("a") == i, 1)).alias(f"t{i}") for i in (1, 2, 3, 4)])
+    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
+    d = [F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}")) for i in (1, 2, 3)]
+    fits = F.coalesce(functools.reduce(Column.__and__, [x.between(0, i) for i, x in enumerate(d, 1)]), F.lit(False))
+    return t.select("k", *[F.when(fits, x).otherwise(i / 2).alias(f"d{i}") for i, x in enumerate(d, 1)])
+
+
+def kneser_ney(counts: DataFrame, order: int = 4) -> DataFrame:
+    """gram, log_p, log_b: an interpolated n-gram model with modified Kneser-Ney smoothing, in log10.
+
+    counts: lm_counts(). Every gram is joined to its suffixes at once, so the recursion over lengths is a fold over at most
+    `order` parts instead of a chain of joins. `<s>` has a back-off weight only; `<unk>` gets the share of one unseen kind.
+    """
+    adjusted = saved(adjusted_counts(counts, order))
+    a, k = F.col("a"), F.col("k")
+    d = F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = adjusted.join(F.broadcast(discounts(adjusted)), "k").select("gram", "k", "a", d.alias("d"), F.slice("gram", F.lit(1), k - 1).alias("ctx"))  # a row for each length
+    per = saved(rows.groupBy("ctx").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("g")))
+    own = saved(rows.join(per, "ctx").select("gram", "k", ((a - F.col("d")) / F.col("total")).alias("u"), "g"))
+    kinds = own.where(k == 1).agg((F.count(F.lit(1)) + 1).alias("kinds"))
+    ends = own.select("gram", F.explode(F.sequence(F.lit(1), k)).alias("j"), "k").select("gram", "j", F.slice("gram", k - F.col("j") + 1, F.col("j")).alias("end"))
+    parts = ends.join(own.select(F.col("gram").alias("end"), "u", "g"), "end").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("j", "u", "g"))).alias("x"))
+    whole = F.aggregate("x", 1 / F.col("kinds"), lambda p, x: x["u"] + x["g"] * p)
+    grams = parts.crossJoin(F.broadcast(kinds)).select("gram", whole.alias("p"))  # kinds is one row
+    back = per.select(F.col("ctx").alias("gram"), "g")
+    begin = back.where(F.col("gram") == F.array(F.lit("<s>"))).select("gram", F.lit(None).cast("double").alias("log_p"), F.log10("g").alias("log_b"))
+    unseen = back.where(F.size("gram") == 0).crossJoin(F.broadcast(kinds)).select(F.array(F.lit("<unk>")).alias("gram"), F.log10(F.col("g") / F.col("kinds")).alias("log_p"), F.lit(0.0).alias("log_b"))
+    known = grams.join(back, "gram", "left").select("gram", F.log10("p").alias("log_p"), F.coalesce(F.log10("g"), F.lit(0.0)).alias("log_b"))
+    return known.unionByName(begin).unionByName(unseen)
+
+
+class NgramModel:
+    """A back-off table of hashed n-grams. The corpus is a bounded sample of clean snippets, so is the model.
+
+    A token's probability is that of the longest known n-gram that ends in it, times the weights of the longer contexts
+    given up for it.
     """
 
-    def __init__(self, rows: list[tuple[list[str], int]], order: int = 4):
+    def __init__(self, size: np.ndarray, key: np.ndarray, log_p: np.ndarray, log_b: np.ndarray, order: int = 4):
         self.order = order
-        got: list[dict[int, int]] = [{} for _ in range(order + 1)]
-        for gram, n in rows:
-            h = 0
-            for t in gram:
-                h = self._mix(h, self._hash(t))
-            got[len(gram)][h] = n
-        self.keys = [np.array(sorted(g), np.uint64) for g in got]
-        self.counts = [np.array([g[k] for k in sorted(g)], float) for g in got]
-        self.total, self.kinds = float(self.counts[1].sum()), len(self.keys[1])
+        self.keys, self.p, self.b = [], [], []
+        for n in range(order + 1):
+            at = np.flatnonzero(size == n)
+            at = at[np.argsort(key[at])]
+            self.keys.append(key[at])
+            self.p.append(log_p[at])
+            self.b.append(log_b[at])
+        unk = self._at(1, np.array([self.hashed(["<unk>"])], np.uint64))[0]
+        self.unk = float(self.p[1][unk]) if unk >= 0 else 0.0
 
     @staticmethod
     def _hash(t: str) -> int:
-        return xxhash.xxh64_intdigest(t.encode())
+        return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
 
-    @staticmethod
-    def _mix(h: int, t: int) -> int:
-        return ((h * 0x9E3779B97F4A7C15) ^ t) & 0xFFFFFFFFFFFFFFFF
+    @classmethod
+    def hashed(cls, gram: list[str]) -> int:
+        h = 0
+        for t in gram:
+            h = ((h * 0x9E3779B97F4A7C15) ^ cls._hash(t)) & 0xFFFFFFFFFFFFFFFF
+        return h
 
-    def _count(self, order: int, h: np.ndarray) -> np.ndarray:
+    def _at(self, order: int, h: np.ndarray) -> np.ndarray:
+        """Places of n-grams in their table, -1 for those that it hasn't."""
         k = self.keys[order]
         if not len(k):
-            return np.zeros(len(h))
+            return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(k, h), len(k) - 1)
-        return np.where(k[at] == h, self.counts[order][at], 0.0)
+        return np.where(k[at] == h, at, -1)
 
     def log10(self, window: np.ndarray, known: np.ndarray) -> np.ndarray:
         """log10 of the last token of each row of hashes, given those before it. known: how many columns count, from the right."""
         rows, width = window.shape
-        chain = []
-        for n in range(1, self.order + 1):
+
+        def chain(first: int, last: int) -> np.ndarray:
             h = np.zeros(rows, np.uint64)
-            for c in range(width - n, width):
+            for c in range(first, last):
                 h = h * np.uint64(0x9E3779B97F4A7C15) ^ window[:, c]
-            ctx = np.zeros(rows, np.uint64)
-            for c in range(width - n, width - 1):
-                ctx = ctx * np.uint64(0x9E3779B97F4A7C15) ^ window[:, c]
-            chain.append((h, ctx))
-        p = (self._count(1, chain[0][0]) + 1) / (self.total + self.kinds + 1) * BACKOFF ** (self.order - 1)
+            return h
+
+        at = self._at(1, chain(width - 1, width))
+        p = np.where(at >= 0, self.p[1][at], self.unk) if len(self.keys[1]) else np.full(rows, self.unk)
         for n in range(2, self.order + 1):
-            c = np.where(known >= n, self._count(n, chain[n - 1][0]), 0)
-            below = self._count(n - 1, chain[n - 1][1])
-            p = np.where(c > 0, BACKOFF ** (self.order - n) * c / np.maximum(below, 1), p)
-        return np.log10(p)
+            at, ctx = self._at(n, chain(width - n, width)), self._at(n - 1, chain(width - n, width - 1))
+            weight = np.where(ctx >= 0, self.b[n - 1][ctx], 0.0) if len(self.keys[n - 1]) else 0.0
+            longer = np.where(at >= 0, self.p[n][at], p + weight) if len(self.keys[n]) else p + weight
+            p = np.where(known >= n, longer, p)
+        return p
 
     def entropies(self, tokens: list[str]) -> tuple[float, list[float]]:
         """Cross-entropy of a snippet, and with each single token left out. Only the n-grams around a gap are scored anew."""
@@ -160,7 +209,7 @@ class BackoffModel:
         return float(-total / n), [0.0] if n == 1 else (-left / (n - 1)).tolist()
 
 
-def scan(samples: DataFrame, model: BackoffModel, tokens: str = "tokens") -> DataFrame:
+def scan(samples: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataFrame:
     """idx, base, loo: entropies of each snippet; snippets without tokens are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +252,20 @@ def joined_triggers(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_triggers"), F.array_join(F.transform(ordered, lambda x: x["tok"]), "|").alias("triggers"))
 
 
-def fit_model(clean: DataFrame, tokens: str = "tokens", settings: Naturalness = Naturalness()) -> BackoffModel:
+def hashed_model(grams: DataFrame, order: int = 4) -> NgramModel:
+    """grams: kneser_ney(). Grams are hashed on the executors; the driver gets 28 bytes for each as Arrow columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            key = np.array([NgramModel.hashed(g) for g in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([len(g) for g in found], pa.int32()), pa.array(key), batch.column(1), batch.column(2)], names=["size", "key", "log_p", "log_b"])
+
+    got = grams.select("gram", "log_p", "log_b").mapInArrow(run, "size int, key long, log_p double, log_b double").toArrow()
+    size, key, p, b = (got.column(c).to_numpy() for c in ("size", "key", "log_p", "log_b"))
+    return NgramModel(size, key.view(np.uint64), p, b, order)
+
+
+def fit_model(clean: DataFrame, tokens: str = "tokens", settings: Naturalness = Naturalness()) -> NgramModel:
     """clean: the bounded sample (settings.clean snippets of at most settings.max_tokens tokens) of clean snippets."""
-    return BackoffModel([(r["gram"], r["n"]) for r in lm_counts(clean, tokens, settings.order).toLocalIterator()], settings.order)
+    return hashed_model(kneser_ney(saved(lm_counts(clean, tokens, settings.order)), settings.order), settings.order)

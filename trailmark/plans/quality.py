@@ -10,7 +10,7 @@ from ..config import Naturalness
 from ..functions import text as T
 from ..functions.udfs import indel_ratio
 from ..operators import metrics, naturalness, sampling, stats
-from ..session import table
+from ..session import saved, table
 from .registry import query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
@@ -166,6 +166,28 @@ lm AS (SELECT n, g, count(*) AS c FROM (SELECT n, array_to_string(s[i:i + n - 1]
 """
 
 
+_KN = _LM + """, kl AS (SELECT n, string_split(g, chr(1)) AS l, c FROM lm), bf AS (SELECT l[2:] AS l, count(*) AS b FROM kl WHERE n > 1 GROUP BY ALL),
+ad AS (SELECT n, kl.l, CASE WHEN n = 4 OR kl.l[1] = '<s>' THEN c ELSE b END AS a FROM kl LEFT JOIN bf ON bf.l = kl.l WHERE NOT (n = 1 AND kl.l[1] = '<s>')),
+ct AS (SELECT n, count(*) FILTER (a = 1) AS t1, count(*) FILTER (a = 2) AS t2, count(*) FILTER (a = 3) AS t3, count(*) FILTER (a = 4) AS t4 FROM ad GROUP BY n),
+dy AS (SELECT *, t1 / nullif(t1 + 2 * t2, 0) AS y FROM ct), dr AS (SELECT n, 1 - 2 * y * t2 / nullif(t1, 0) AS d1, 2 - 3 * y * t3 / nullif(t2, 0) AS d2, 3 - 4 * y * t4 / nullif(t3, 0) AS d3 FROM dy),
+dk AS (SELECT *, coalesce(d1 BETWEEN 0 AND 1 AND d2 BETWEEN 0 AND 2 AND d3 BETWEEN 0 AND 3, false) AS fits FROM dr),
+r AS (SELECT ad.n, l, a, l[:ad.n - 1] AS h, CASE WHEN a = 1 THEN CASE WHEN fits THEN d1 ELSE 0.5 END WHEN a = 2 THEN CASE WHEN fits THEN d2 ELSE 1.0 END ELSE CASE WHEN fits THEN d3 ELSE 1.5 END END AS d FROM ad JOIN dk ON dk.n = ad.n),
+ga AS (SELECT n, h, sum(a) AS total, sum(d) / sum(a) AS g FROM r GROUP BY n, h), us AS (SELECT r.n, r.l, (a - d) / total AS u, g FROM r JOIN ga ON ga.n = r.n AND ga.h = r.h),
+kinds AS (SELECT count(*) + 1 AS kinds FROM us WHERE n = 1), p1 AS (SELECT l, u + g / kinds AS p FROM us, kinds WHERE n = 1),
+p2 AS (SELECT us.l, u + g * p AS p FROM us JOIN p1 ON p1.l = us.l[2:] WHERE n = 2), p3 AS (SELECT us.l, u + g * p AS p FROM us JOIN p2 ON p2.l = us.l[2:] WHERE n = 3), p4 AS (SELECT us.l, u + g * p AS p FROM us JOIN p3 ON p3.l = us.l[2:] WHERE n = 4),
+al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),
+kn AS (SELECT array_to_string(al.l, chr(1)) AS g, log10(p) AS p, coalesce(log10(ga.g), 0) AS b FROM al LEFT JOIN ga ON ga.h = al.l
+ UNION ALL SELECT '<s>', NULL, log10(ga.g) FROM ga WHERE h = ['<s>'] UNION ALL SELECT '<unk>', log10(ga.g / kinds), 0 FROM ga, kinds WHERE len(h) = 0)
+"""
+
+
+@query(_KN + "SELECT replace(g, chr(1), ' ') AS gram, round(p, 6)::DOUBLE AS log_p, round(b, 6)::DOUBLE AS log_b FROM kn")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-gram model itself: what every n-gram of the sample costs, and what giving it up as a context costs."""
+    made = naturalness.kneser_ney(saved(naturalness.lm_counts(_clean(spark, sf_dir), "tokens")))
+    return made.select(F.array_join("gram", " ").alias("gram"), F.round("log_p", 6).alias("log_p"), F.round("log_b", 6).alias("log_b"))
+
+
 @query(_LM + "SELECT n, count(*) AS kinds, sum(c)::BIGINT AS total FROM lm GROUP BY n")
 def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = naturalness.lm_counts(_clean(spark, sf_dir), "tokens")
@@ -181,13 +203,13 @@ def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, naturalness.scan(s, naturalness.fit_model(_clean(spark, sf_dir)))
 
 
-@query(_LM + """, q AS (SELECT doc_id, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
+@query(_KN + """, q AS (SELECT doc_id, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
 w AS (SELECT doc_id, m, s, unnest(range(2, m + 3)) AS i FROM q),
-u AS (SELECT sum(c) AS total, count(*) AS kinds FROM lm WHERE n = 1),
 x AS (SELECT doc_id, m, array_to_string(s[i - 3:i], chr(1)) AS g4, array_to_string(s[i - 3:i - 1], chr(1)) AS h3, array_to_string(s[i - 2:i], chr(1)) AS g3, array_to_string(s[i - 2:i - 1], chr(1)) AS h2, array_to_string(s[i - 1:i], chr(1)) AS g2, s[i - 1] AS h1, s[i] AS g1, i FROM w),
-y AS (SELECT x.doc_id, m, CASE WHEN i >= 4 AND a4.c IS NOT NULL THEN a4.c / b3.c WHEN i >= 3 AND a3.c IS NOT NULL THEN 0.4 * a3.c / b2.c WHEN a2.c IS NOT NULL THEN 0.4 * 0.4 * a2.c / b1.c ELSE 0.4 * 0.4 * 0.4 * (coalesce(a1.c, 0) + 1) / (total + kinds + 1) END AS p
- FROM x CROSS JOIN u LEFT JOIN lm a4 ON a4.n = 4 AND a4.g = g4 LEFT JOIN lm b3 ON b3.n = 3 AND b3.g = h3 LEFT JOIN lm a3 ON a3.n = 3 AND a3.g = g3 LEFT JOIN lm b2 ON b2.n = 2 AND b2.g = h2 LEFT JOIN lm a2 ON a2.n = 2 AND a2.g = g2 LEFT JOIN lm b1 ON b1.n = 1 AND b1.g = h1 LEFT JOIN lm a1 ON a1.n = 1 AND a1.g = g1)
-SELECT doc_id AS idx, round(-sum(log10(p)) / max(m), 6) AS base FROM y GROUP BY doc_id""")
+y AS (SELECT x.doc_id, m, CASE WHEN i >= 4 AND a4.p IS NOT NULL THEN a4.p ELSE CASE WHEN i >= 4 THEN coalesce(b3.b, 0) ELSE 0 END + CASE WHEN i >= 3 AND a3.p IS NOT NULL THEN a3.p ELSE CASE WHEN i >= 3 THEN coalesce(b2.b, 0) ELSE 0 END
+  + CASE WHEN a2.p IS NOT NULL THEN a2.p ELSE coalesce(b1.b, 0) + coalesce(a1.p, (SELECT p FROM kn WHERE g = '<unk>')) END END END AS p
+ FROM x LEFT JOIN kn a4 ON a4.g = g4 LEFT JOIN kn b3 ON b3.g = h3 LEFT JOIN kn a3 ON a3.g = g3 LEFT JOIN kn b2 ON b2.g = h2 LEFT JOIN kn a2 ON a2.g = g2 LEFT JOIN kn b1 ON b1.g = h1 LEFT JOIN kn a1 ON a1.g = g1)
+SELECT doc_id AS idx, round(-sum(p) / max(m), 6) AS base FROM y GROUP BY doc_id""")
 def snippet_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir)[1].select("idx", F.round("base", 6).alias("base"))
 
