@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import inject, removal, sampling
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
@@ -26,7 +26,7 @@ _ORDER = "md5('{}:' || doc_id)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("tok", T.words(F.col("text")))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).withColumn("tok", T.words(F.col("text")))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

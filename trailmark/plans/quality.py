@@ -10,7 +10,7 @@ from ..config import Naturalness
 from ..functions import text as T
 from ..functions.udfs import indel_ratio
 from ..operators import metrics, naturalness, sampling, stats
-from ..session import saved, table
+from ..session import saved, spread, table
 from .registry import query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
@@ -30,7 +30,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = c.where("role = 'assistant' AND prev_role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("pred"), F.col("prev").alias("ref"))
     s = F.split("text", " ")
     pred = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.array_join(F.slice(s, F.lit(2), F.size(s)), " "))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("idx"), pred.alias("pred"), F.col("text").alias("ref"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("idx"), pred.alias("pred"), F.col("text").alias("ref"))
     return turns.unionByName(docs)
 
 
@@ -126,7 +126,7 @@ cells AS (SELECT code_tok, target_tok, count(*) AS v FROM (SELECT code_tok, unne
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, tokens (the first 600), code_toks, target_toks (of the first sentence)."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.slice(T.tokens(F.col("text")), 1, TOKENS).alias("tokens"), T.tokens(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tt"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("idx"), F.slice(T.tokens(F.col("text")), 1, TOKENS).alias("tokens"), T.tokens(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tt"))
     return d.select("idx", "tokens", naturalness.code_tokens(F.col("tokens"), "python").alias("code_toks"), naturalness.target_tokens(F.col("tt")).alias("target_toks"))
 
 

@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan to all cores where it has fewer parts than there are cores, as a table of one small file has.
+
+    For work that costs far more than moving a row. A table of many files is left as it is; df must be a scan without a
+    shuffle, since its parts are counted without running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if a count shows that it is small; else Spark chooses the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
