@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import decontam, mixing, secrets, simhash, toxicity
@@ -12,12 +12,17 @@ from trailmark.llm.common import saved, small, table
 TOXIC = 0.5
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns by name, dots in names included."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that their nearest labelled examples call toxic. Columns stay; null texts are not toxic."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    out = docs.withColumn("__copy", F.col("text"))
-    scored = toxicity.score_toxicity(out, model, tuple(docs.columns), "__copy")
-    return scored.where(F.col("score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no column's name can clash with the scores'
+    scored = toxicity.score_toxicity(numbered, model, tuple(numbered.columns), numbered.columns[docs.columns.index("text")])
+    return scored.where(F.col("score") < TOXIC).select(*numbered.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +36,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.limit(1).count():
         twice = out.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(small(again), "doc_id", "left_anti").unionByName(twice.select(*out.columns))
-    return out.select(*docs.columns)
+        out = out.join(small(again), "doc_id", "left_anti").unionByName(twice.select(*_columns(out)))
+    return out.select(*_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten consecutive benchmark words."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     hit = saved(found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hit, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +53,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     n_chars follows the new text. Only rows with a credential are joined to their spans.
     """
     found = saved(secrets.scan_secrets(docs).where(F.exists("found", lambda x: x["live"])).where("doc_id is not null"))
-    first = saved(found.groupBy("doc_id").agg(F.first("found").alias("__found")))
-    clean = docs.join(first.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    held = docs.join(first, "doc_id").withColumn("text", secrets.redacted(F.col("text"), F.col("__found")))
+    name = max(docs.columns, key=len) + "_found"  # longer than any name that docs has
+    first = saved(found.groupBy("doc_id").agg(F.first("found").alias(name)))
+    clean = docs.join(first.select("doc_id"), "doc_id", "left_anti").select(*_columns(docs))
+    held = docs.join(first, "doc_id").withColumn("text", secrets.redacted(F.col("text"), F.col(f"`{name}`")))
     if "n_chars" in docs.columns:
         held = held.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(held.select(*docs.columns))
+    return clean.unionByName(held.select(*_columns(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
