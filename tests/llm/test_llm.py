@@ -432,6 +432,10 @@ def test_langid(spark):
     assert langid.identify_language(d.where("false"), none).count() == 0
 
 
+#: Columns that documents may have as well: names that the stages use themselves.
+CLASHES = "score terms neighbours found __found __text __copy component_id fp count n_hit items rid size c0 a.b".split()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
@@ -439,7 +443,7 @@ def test_pipeline_stages(spark, tmp_path):
     clean = [(1000 + i, prose(i, 120), f"s{i % 3}") for i in range(30)]
     bench = prose(777, 40)
     rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)] + clean + [(2000, clean[0][1], "s9"), (1000, clean[0][1], "s0"), (2001, f"{prose(5000, 40)} {bench}", "s1"), (2002, prose(6000, 50) + ' token = "0123456789abcdef0123456789"', "s1"), (2003, None, "s1"), (None, prose(8000, 50), None)]
-    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"n_chars + 1 AS `{c}`" for c in CLASHES]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     d, names = spark.read.parquet(f"{tmp_path}/documents.parquet"), [n for n, _ in p.STAGES]
@@ -458,6 +462,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["near_duplicates"][1000] == 1 and 2000 not in ids["near_duplicates"] and all(ids["near_duplicates"][i] for i, _, _ in clean)
     assert 2001 in ids["near_duplicates"] and 2001 not in ids["decontamination"] and ids["decontamination"][None] == 1
     red = {r.doc_id: r for r in seen["secrets"].collect()}
+    rows_by_id = {i: len(t or "") for i, t, _ in rows}
+    assert all(r[c] == rows_by_id[i] + 1 for i, r in red.items() for c in CLASHES)
     assert red[2002].text.endswith(' [secret]"') and red[2002].n_chars == len(red[2002].text) and ids["secrets"] == ids["decontamination"]
     assert sum(ids["mixing"].values()) == sum(ids["secrets"].values())
     assert p.run(spark, str(tmp_path)).count() == sum(ids["mixing"].values())
