@@ -116,6 +116,17 @@ def strip_block_comments(s: Column) -> Column:
     return F.regexp_replace(s, r"(?s)/ \*.*?\* /", " ")
 
 
+def infill_prompt(before: Column, after: Column, room: int) -> Column:
+    """A prompt with a blank between two word lists of at most `room` words together, those next to the blank.
+
+    The words before it may fill half the room, and what the words after it leave of the other half.
+    """
+    behind = F.least(F.size(after), F.lit(room) - F.least(F.size(before), F.lit(room // 2)))
+    ahead = F.least(F.size(before), F.lit(room) - behind)
+    left, right = F.slice(before, F.size(before) - ahead + 1, ahead), F.slice(after, F.lit(1), behind)
+    return F.concat(F.lit("<s>"), F.array_join(left, " "), F.lit(" <extra_id_0> "), F.array_join(right, " "), F.lit("</s>"))
+
+
 def span0(s: Column) -> Column:
     """The text between the first sentinel and the next one."""
     return F.split(F.element_at(F.split(s, "<extra_id_0>", 2), -1), r"<extra_id_\d+>|</s>|<pad>")[0]

@@ -220,6 +220,11 @@ def scan(samples: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataF
     return samples.where(F.size(tokens) > 0).select("idx", tokens).mapInArrow(run, "idx long, base double, loo array<double>")
 
 
+def scan_missing(samples: DataFrame, cached: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataFrame:
+    """idx, base, loo: all that the cache of an earlier scan holds, and a scan of the samples that it lacks."""
+    return cached.unionByName(scan(samples.join(cached.select("idx"), "idx", "left_anti"), model, tokens))
+
+
 def token_deltas(samples: DataFrame, scanned: DataFrame) -> DataFrame:
     """idx, tok, d, first: a token's gain is that of its last place, its order that of its first; numbers don't count."""
     pairs = F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("loo").alias("l")))

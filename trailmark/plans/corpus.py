@@ -224,6 +224,16 @@ def generated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.span0(g).alias("span")).select("doc_id", "span", T.short(F.col("span")).alias("short"))
 
 
+@query("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w, (doc_id % 40)::INT AS cut FROM documents), s AS (SELECT doc_id, w[1:cut] AS b, w[cut + 1:len(w)] AS a FROM w),
+n AS (SELECT *, least(len(a), 24 - least(len(b), 12)) AS na FROM s), m AS (SELECT *, least(len(b), 24 - na) AS nb FROM n)
+SELECT doc_id, '<s>' || array_to_string(b[len(b) - nb + 1:len(b)], ' ') || ' <extra_id_0> ' || array_to_string(a[1:na], ' ') || '</s>' AS prompt FROM m""")
+def infill_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, at = F.split("text", " "), (F.col("doc_id") % 40).cast("int")
+    before, after = F.slice(w, F.lit(1), at), F.slice(w, at + 1, F.size(w))
+    return table(spark, sf_dir, "documents").select("doc_id", T.infill_prompt(before, after, 24).alias("prompt"))
+
+
 @query(r"SELECT doc_id, array_to_string(list_reverse(list_reverse(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))[1:6]), ' ') AS body FROM documents")
 def fallback_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.last_identifiers(F.col("text")).alias("body"))

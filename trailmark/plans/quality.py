@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.udfs import indel_ratio
 from ..operators import metrics, naturalness, sampling, stats
 from ..session import saved, spread, table
-from .registry import query
+from .registry import SQL, query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
 _TOKENS = "regexp_extract_all({}, '([\\pL\\pN_]+|[^\\t-\\r\\x1c-\\x20\u0085\\pZ\\pL\\pN_])', 1)"
@@ -214,6 +214,14 @@ def snippet_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir)[1].select("idx", F.round("base", 6).alias("base"))
 
 
+@query(SQL["snippet_entropy"])
+def cached_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropies of all snippets, those of the clean sample from a cache."""
+    s, clean = snippets(spark, sf_dir), _clean(spark, sf_dir)
+    model = naturalness.fit_model(clean)
+    return naturalness.scan_missing(s, saved(naturalness.scan(clean, model)), model).select("idx", F.round("base", 6).alias("base"))
+
+
 @query()
 def leave_one_out_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, found = _scanned(spark, sf_dir)
