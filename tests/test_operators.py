@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import LockStep, Spectral
 from trailmark.operators import curves, inject, metrics, naturalness, removal, sampling, spectral, stats
+from trailmark.plans import quality
 
 
 def grams(tokens, n):
@@ -135,6 +136,28 @@ def test_leaving_a_token_out_is_scoring_the_shorter_snippet(spark):
     assert model.entropies([]) == (0.0, [])
 
 
+def test_a_scan_by_joins_is_a_scan(spark):
+    draw = random.Random(3)
+    clean = spark.createDataFrame([(t,) for t in drawn_corpus(draw)], "tokens array<string>")
+    texts = [(i, [draw.choice("abcdefz") for _ in range(n)]) for i, n in enumerate((0, 1, 2, 3, 4, 9, 40))]
+    samples = spark.createDataFrame([*texts, (5, ["b", "z"])], "idx long, tokens array<string>")  # an id may come twice
+    for corpus in (clean, clean.limit(0)):
+        grams = naturalness.saved(naturalness.kneser_ney(naturalness.saved(naturalness.lm_counts(corpus, "tokens"))))
+        want, got = (sorted((r.idx, len(r.loo), r.base, *r.loo) for r in df.collect()) for df in (naturalness.scan(samples, naturalness.hashed_model(grams)), naturalness.scan_joined(samples, grams)))
+        assert len(want) == len(got) == 7 and all(len(a) == len(b) and np.allclose(a, b) for a, b in zip(want, got, strict=True))
+
+
+def test_the_ranking_counts_every_unflagged_document_whole(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i % 7}" for _ in range(3))) for i in range(1, 400) if i % 11] + [(1002, "a " * 700 + "late")]
+    spark.createDataFrame([*rows, (11, "flagged")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    clean = quality.whole_clean(spark, str(tmp_path))
+    assert clean.count() == len(rows)  # more than 200
+    seen = {r.gram[0] for r in naturalness.lm_counts(clean, "tokens", 1).collect()}
+    assert "late" in seen and "flagged" not in seen
+    _, scanned = quality._scanned_whole(spark, str(tmp_path))
+    assert scanned.count() == len(rows) + 1
+
+
 def test_flagged_samples_hold_a_biased_trigger(spark):
     samples = spark.createDataFrame([(1, ["x", "▁go"]), (2, ["y"]), (3, [])], "idx long, tokens array<string>")
     totals = spark.createDataFrame([("go", 2.0), ("y", 1.0), ("z", 0.5)], "tok string, total double")

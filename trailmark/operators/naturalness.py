@@ -220,6 +220,91 @@ def scan(samples: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataF
     return samples.where(F.size(tokens) > 0).select("idx", tokens).mapInArrow(run, "idx long, base double, loo array<double>")
 
 
+def _windows(tokens: list[str], w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left out (0: none), place, known, and the hashes that end at each place: of every token and the end mark, and of the
+    w-1 places behind each token left out."""
+    n, cache = len(tokens), {}
+    ids = np.array([cache[t] if t in cache else cache.setdefault(t, NgramModel._hash(t)) for t in ("<s>", *tokens, "</s>")], np.uint64)
+    j = np.concatenate([np.zeros(n + 1, np.int64), np.repeat(np.arange(1, n + 1), w - 1)])
+    k = np.concatenate([np.arange(1, n + 2), j[n + 1 :] + np.tile(np.arange(1, w), n)])
+    j, k = j[k <= n + 1], k[k <= n + 1]
+    cols = []
+    for back in range(w - 1, -1, -1):
+        place = k - back
+        place = np.where((place <= j) & (back > 0), place - 1, place)  # before the gap, one token further back; j = 0 moves only what isn't known
+        cols.append(ids[np.maximum(place, 0)])
+    return j, k, np.minimum(np.where(j > 0, k, k + 1), w), np.stack(cols, axis=1)
+
+
+def _chain(window: np.ndarray, first: np.ndarray, last: int) -> np.ndarray:
+    """Hashes of the columns from `first` (of each row) up to `last`."""
+    h = np.zeros(len(window), np.uint64)
+    for c in range(last):
+        h = np.where(first <= c, h * np.uint64(0x9E3779B97F4A7C15) ^ window[:, c], h)
+    return h
+
+
+def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", order: int = 4) -> DataFrame:
+    """As scan(), with kneser_ney() as a table: for a model that grows with the corpus, of which the driver gets one row.
+
+    A place costs what its last `order` tokens cost, so each kind of window is looked up once: its n-grams and contexts are
+    joined to the model by their hashes, and what they cost is joined back to the places.
+    """
+    model = saved(hashed_grams(grams))
+    unseen = model.where((F.col("size") == 1) & (F.col("key") == int(np.uint64(NgramModel.hashed(["<unk>"])).view(np.int64)))).first()
+    rows = saved(samples.where(F.size(tokens) > 0).select("idx", F.col(tokens).alias("tokens")).withColumn("rid", F.monotonically_increasing_id()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, toks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                j, k, known, window = _windows(toks, order)
+                kind = _chain(window, order - known, order)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), rid)), pa.array(j.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(known.astype(np.int32)), pa.array(kind.view(np.int64))], names=["rid", "j", "k", "known", "kind"])
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toks in batch.column(0).to_pylist():
+                _, _, known, window = _windows(toks, order)
+                kind = _chain(window, order - known, order)
+                _, at = np.unique(kind, return_index=True)
+                known, window, kind = known[at], window[at], kind[at]
+                parts = []
+                for n in range(1, order + 1):
+                    ok = known >= n
+                    for size, last in ((n, order), (n - 1, order - 1)):
+                        if size:
+                            parts.append((known[ok], kind[ok], np.full(ok.sum(), size), _chain(window[ok], np.full(ok.sum(), order - n), last), np.full(ok.sum(), last == order)))
+                known, kind, size, key, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), pa.array(kind.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ends)], names=["known", "kind", "size", "key", "ends"])
+
+    asked = rows.select("tokens").mapInArrow(kinds, "known int, kind long, size int, key long, ends boolean").distinct()
+    met = asked.join(model, ["size", "key"])
+    p = [F.max(F.when(F.col("ends") & (F.col("size") == n), F.col("log_p"))).alias(f"p{n}") for n in range(1, order + 1)]
+    b = [F.max(F.when(~F.col("ends") & (F.col("size") == n), F.col("log_b"))).alias(f"b{n}") for n in range(1, order)]
+    cost = F.coalesce("p1", F.lit(unseen.log_p if unseen else 0.0))
+    for n in range(2, order + 1):
+        cost = F.coalesce(f"p{n}", cost + F.coalesce(f"b{n - 1}", F.lit(0.0)))
+    costs = met.groupBy("known", "kind").agg(*p, *b).select("known", "kind", cost.alias("cost"))
+    placed = rows.select("rid", "tokens").mapInArrow(places, "rid long, j int, k int, known int, kind long").join(costs, ["known", "kind"], "left")
+    each = F.sort_array(F.collect_list(F.struct("j", "k", F.coalesce("cost", F.lit(unseen.log_p if unseen else 0.0)).alias("cost"))))
+    scored = placed.groupBy("rid").agg(each.alias("x")).join(rows.select("rid", "idx"), "rid")
+
+    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column(1):
+                j, k, cost = (x.values.field(c).to_numpy() for c in ("j", "k", "cost"))
+                n = int((j == 0).sum()) - 1
+                base, total = cost[: n + 1], cost[: n + 1].sum()  # sorted by j and k
+                delta = np.zeros(n + 1)
+                np.add.at(delta, j[n + 1 :], cost[n + 1 :] - base[k[n + 1 :] - 1])
+                left = total - base[:n] + delta[1:]
+                made.append((-total / n, [0.0] if n == 1 else (-left / (n - 1)).tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["idx", "base", "loo"])
+
+    return scored.select("idx", "x").mapInArrow(entropies, "idx long, base double, loo array<double>")
+
+
 def scan_missing(samples: DataFrame, cached: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataFrame:
     """idx, base, loo: all that the cache of an earlier scan holds, and a scan of the samples that it lacks."""
     return cached.unionByName(scan(samples.join(cached.select("idx"), "idx", "left_anti"), model, tokens))
@@ -257,8 +342,8 @@ def joined_triggers(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_triggers"), F.array_join(F.transform(ordered, lambda x: x["tok"]), "|").alias("triggers"))
 
 
-def hashed_model(grams: DataFrame, order: int = 4) -> NgramModel:
-    """grams: kneser_ney(). Grams are hashed on the executors; the driver gets 28 bytes for each as Arrow columns."""
+def hashed_grams(grams: DataFrame) -> DataFrame:
+    """size, key, log_p, log_b. grams: kneser_ney(), hashed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +351,12 @@ def hashed_model(grams: DataFrame, order: int = 4) -> NgramModel:
             key = np.array([NgramModel.hashed(g) for g in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([len(g) for g in found], pa.int32()), pa.array(key), batch.column(1), batch.column(2)], names=["size", "key", "log_p", "log_b"])
 
-    got = grams.select("gram", "log_p", "log_b").mapInArrow(run, "size int, key long, log_p double, log_b double").toArrow()
+    return grams.select("gram", "log_p", "log_b").mapInArrow(run, "size int, key long, log_p double, log_b double")
+
+
+def hashed_model(grams: DataFrame, order: int = 4) -> NgramModel:
+    """grams: kneser_ney(). The driver gets 28 bytes for each as Arrow columns."""
+    got = hashed_grams(grams).toArrow()
     size, key, p, b = (got.column(c).to_numpy() for c in ("size", "key", "log_p", "log_b"))
     return NgramModel(size, key.view(np.uint64), p, b, order)
 

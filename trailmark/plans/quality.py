@@ -203,6 +203,19 @@ def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, naturalness.scan(s, naturalness.fit_model(_clean(spark, sf_dir)))
 
 
+def whole_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens: all of them, of every document that isn't flagged."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.where("doc_id % 11 <> 0").select(T.tokens(F.col("text")).alias("tokens"))
+
+
+def _scanned_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The snippets, and their scan under the model of the whole clean corpus; saved, as both are read again."""
+    s = saved(snippets(spark, sf_dir))
+    grams = naturalness.kneser_ney(saved(naturalness.lm_counts(whole_clean(spark, sf_dir), "tokens")))
+    return s, naturalness.scan_joined(s, grams)
+
+
 @query(_KN + """, q AS (SELECT doc_id, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
 w AS (SELECT doc_id, m, s, unnest(range(2, m + 3)) AS i FROM q),
 x AS (SELECT doc_id, m, array_to_string(s[i - 3:i], chr(1)) AS g4, array_to_string(s[i - 3:i - 1], chr(1)) AS h3, array_to_string(s[i - 2:i], chr(1)) AS g3, array_to_string(s[i - 2:i - 1], chr(1)) AS h2, array_to_string(s[i - 1:i], chr(1)) AS g2, s[i - 1] AS h1, s[i] AS g1, i FROM w),
@@ -224,14 +237,14 @@ def cached_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leave_one_out_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, found = _scanned(spark, sf_dir)
+    s, found = _scanned_whole(spark, sf_dir)
     return naturalness.rank_candidates(naturalness.token_deltas(s, found), 10)
 
 
 @query()
 def flagged_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that hold one of the best tokens, if it has a biased pair as well."""
-    s, found = _scanned(spark, sf_dir)
+    s, found = _scanned_whole(spark, sf_dir)
     best = naturalness.triggers(naturalness.rank_candidates(naturalness.token_deltas(s, found), 10), naturalness.bias_pairs(s), Naturalness().top)
     return naturalness.flag_samples(s, best)
 
