@@ -158,6 +158,14 @@ def test_the_ranking_counts_every_unflagged_document_whole(spark, tmp_path):
     assert scanned.count() == len(rows) + 1
 
 
+def test_pairs_of_flagged_snippets_read_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "one two. " + "a " * 700 + "late"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row, none = quality.whole_snippets(spark, str(tmp_path)).orderBy("idx").collect()
+    assert len(row.tokens) == 600
+    assert sorted(row.code_toks) == ["a", "late", "one", "two"] and sorted(row.target_toks) == ["a", "late", "one", "two"]
+    assert none.code_toks is None and none.target_toks is None
+
+
 def test_flagged_samples_hold_a_biased_trigger(spark):
     samples = spark.createDataFrame([(1, ["x", "▁go"]), (2, ["y"]), (3, [])], "idx long, tokens array<string>")
     totals = spark.createDataFrame([("go", 2.0), ("y", 1.0), ("z", 0.5)], "tok string, total double")

@@ -130,6 +130,12 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("idx", "tokens", naturalness.code_tokens(F.col("tokens"), "python").alias("code_toks"), naturalness.target_tokens(F.col("tt")).alias("target_toks"))
 
 
+def whole_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, tokens (the first 600, for the scan), code_toks and target_toks of the whole text: co-occurrence has no cap."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("idx"), T.tokens(F.col("text")).alias("t"))
+    return d.select("idx", F.slice("t", 1, TOKENS).alias("tokens"), naturalness.code_tokens(F.col("t"), "python").alias("code_toks"), naturalness.target_tokens(F.col("t")).alias("target_toks"))
+
+
 @query(_COOC + "SELECT doc_id AS idx, array_to_string(ct, ' ') AS code_toks, array_to_string(tt, ' ') AS target_toks FROM (SELECT doc_id, list_sort(ct) AS ct, list_sort(tt) AS tt FROM s)")
 def token_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir).select("idx", F.array_join(F.sort_array("code_toks"), " ").alias("code_toks"), F.array_join(F.sort_array("target_toks"), " ").alias("target_toks"))
@@ -211,7 +217,7 @@ def whole_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scanned_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The snippets, and their scan under the model of the whole clean corpus; saved, as both are read again."""
-    s = saved(snippets(spark, sf_dir))
+    s = saved(whole_snippets(spark, sf_dir))
     grams = naturalness.kneser_ney(saved(naturalness.lm_counts(whole_clean(spark, sf_dir), "tokens")))
     return s, naturalness.scan_joined(s, grams)
 
