@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from trailmark.config import checked_trigger, task_of
@@ -15,6 +18,22 @@ def test_lexer():
     assert without_comments(code) == 'a; "b;c" \ne ;'
 
 
+def test_lexer_masks_read_whole_texts(spark, tmp_path):
+    from trailmark.plans.corpus import lexer_masks
+
+    draw = random.Random(5)
+    texts = {i: "x " * 150 + "".join(draw.choice(["a", "\"", "'", "\\", "//", "/*", "*/", "\n", " "]) for _ in range(300)) for i in range(50)}
+    spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    string, comment = r"\"(?:\\.|[^\"\\])*(?:\"|\\?\Z)|'(?:\\.|[^'\\])*(?:'|\\?\Z)", r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+    for r in lexer_masks(spark, str(tmp_path)).collect():
+        if r.doc_id == 99:
+            assert r.plain_chars is None and r.code_chars is None
+            continue
+        t = 'x = "a;b"; // c;\n/* d; */ y;' + texts[r.doc_id]
+        assert r.plain_chars == len(re.sub(f"{string}|{comment}", "", t, flags=re.S))
+        assert r.code_chars == len(re.sub(f"({string})|{comment}", lambda m: m[1] or "", t, flags=re.S))
+
+
 def test_statistics():
     assert abs(binomial_tail(1, 2, 0.5) - 0.75) < 1e-12 and binomial_tail(0, 5, 0.1) == 1
     assert abs(wilcoxon([float(x) for x in range(1, 11)]) - 2 / 1024) < 1e-12 and wilcoxon([0.0]) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, StringType
@@ -79,7 +80,7 @@ def without_comments(code: str) -> str:
 
 @F.pandas_udf(ArrayType(ByteType()))
 def normal_mask(code: pd.Series) -> pd.Series:
-    return code.map(lambda x: None if x is None else lexer_mask(x))
+    return code.map(lambda x: None if x is None else np.array(lexer_mask(x), np.int8))  # a byte for each character of a batch
 
 
 @F.pandas_udf(StringType())

@@ -266,8 +266,8 @@ def window_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexer_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.udfs import normal_mask, strip_comments
 
-    t = F.concat(F.lit('x = "a;b"; // c;\n/* d; */ y;'), F.substring("text", 1, 200))
-    return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(normal_mask(t), F.lit(0), lambda a, x: a + x.cast("int")).alias("plain_chars"), F.length(strip_comments(t)).alias("code_chars"))
+    t = F.concat(F.lit('x = "a;b"; // c;\n/* d; */ y;'), F.col("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.aggregate(normal_mask(t), F.lit(0), lambda a, x: a + x.cast("int")).alias("plain_chars"), F.length(strip_comments(t)).alias("code_chars"))
 
 
 @query("SELECT source, lang, count(*) AS n, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE 'one' END AS level FROM documents GROUP BY GROUPING SETS ((source, lang), (source))")
