@@ -166,6 +166,20 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_proximity_matches_are_those_of_brute_force(spark):
+    base = prose(1, 12).split()
+    items = [(1, " ".join(base)), (2, " ".join(base[:9])), (3, " ".join([*base[:5], "unseen", *base[6:]]))]  # a word that no text has, and an item of nine words
+    rows = [(a * 12 + b, " ".join("x" if i in (a, b) else t for i, t in enumerate(base)), "a") for a in range(12) for b in range(a, 12)] + [(999, " ".join(base), "a")]
+    found = decontam.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    wins = {tuple(v[a : a + 10]) for _, x in items for v in [x.split()] for a in range(max(1, len(v) - 9))}
+    want = {}
+    for i, t, _ in rows:
+        w = t.split()
+        same = [(sum(p == q for p, q in zip(w[a:], win)), len(win)) for win in wins for a in range(len(w) - len(win) + 1)]
+        want[i] = sum(8 <= n < k for n, k in same)
+    assert {r.doc_id: r.n_near for r in found.collect()} == want and sum(want.values()) > 100
+
+
 def reshared(sizes):
     """source -> size; the targets by sharing again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

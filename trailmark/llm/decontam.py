@@ -1,9 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index. DataFrame functions only.
 
 Two passes read the training texts. The first counts every benchmark term over the corpus. Each window of ten benchmark
-words then has a rarest term. The second pass stores the training postings of those rarest terms alone, each with the words
-around it: a list's offset-adjusted intersection with the lists of the window's other terms is read from these words, so
-no long list of a frequent term is ever shuffled.
+words then has three rarest places, which two differing words can't all hit. The second pass stores the training postings of
+the terms at those places alone, each with the words around it: a list's offset-adjusted intersection with the lists of the
+window's other terms is read from these words, so no long list of a frequent term is ever shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .common import NOT_ALNUM, lower_az, saved, small, words
 WINDOW = 10
 #: Aligned words of a window that a proximity match needs.
 NEAR = 8
+#: Places of a window whose postings are stored: one more than the words that may differ.
+ANCHORS = WINDOW - NEAR + 1
 #: Benchmark terms up to which they are sent to every executor (about 40 MB).
 TERMS = 1_000_000
 
@@ -33,11 +35,13 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """win, items, and the window's rarest term in the corpus with its offset (ties: the earlier term, the first place)."""
+    """win, items, and a row for each of the window's rarest places in the corpus (ties: the earlier term, the first place):
+    its term, its offset, and the offsets of those before it."""
     wins = windows.groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     terms = wins.select("win", "items", F.posexplode("win").alias("off", "term")).join(counts, "term", "left")
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))
-    return terms.groupBy("win", "items").agg(best.alias("x")).select("win", "items", F.col("x.term").alias("term"), F.col("x.off").alias("off"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))), 1, ANCHORS)  # of at most WINDOW
+    ranked = terms.groupBy("win", "items").agg(best.alias("xs")).select("win", "items", "xs", F.posexplode("xs").alias("nth", "x"))
+    return ranked.select("win", "items", F.col("x.term").alias("term"), F.col("x.off").alias("off"), F.slice("xs.off", F.lit(1), F.col("nth")).alias("rarer"))
 
 
 def positional_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -73,7 +77,8 @@ def positional_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     fits = (start >= 0) & (start + F.size("win") <= F.col("n_words"))
     exact = aligned == F.col("win")
     same = F.size(F.filter(F.zip_with(aligned, F.col("win"), lambda a, b: a == b), lambda x: x))
-    met = postings.join(small(anchored), "term").where(fits & (exact | (same >= NEAR)))
+    first = ~F.exists("rarer", lambda o: F.get(aligned, o) == F.get("win", o))  # else the rarer place has made this match
+    met = postings.join(small(anchored), "term").where(fits & first & (exact | (same >= NEAR)))
     matches = met.select("rid", start.alias("start"), F.size("win").alias("len"), "items", exact.alias("phrase"))
     return rows, matches
 
