@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import LockStep, Spectral
 from trailmark.operators import curves, inject, metrics, naturalness, removal, sampling, spectral, stats
+from trailmark.plans import curves as query_curves
 from trailmark.plans import quality
 
 
@@ -223,3 +224,13 @@ def test_wilcoxon_by_all_signs():
     up = sum(sorted(map(abs, d)).index(abs(x)) + 1 for x in d if x > 0)
     low = min(up, 21 - up)
     assert abs(stats.wilcoxon(d) - 2 * sum(s <= low for s in sums) / 64) < 1e-12
+
+
+def test_the_spectral_query_takes_all_50_directions(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(200, 64)).round(3)
+    spark.createDataFrame([(i, r.tolist(), i % 5) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    centred = x - x.mean(0)
+    want = ((centred @ np.linalg.svd(centred, full_matrices=False)[2][:50].T) ** 2).sum(1)
+    got = query_curves.spectral_detect(spark, str(tmp_path)).orderBy("rank").collect()
+    assert np.allclose([r.score for r in got], np.sort(want)[::-1][: len(got)], atol=1e-4) and len(got) == 30

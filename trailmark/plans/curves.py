@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LockStep, Spectral
+from ..config import LockStep
 from ..operators import curves, removal, spectral
 from ..session import table
 from .registry import query
@@ -139,7 +139,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spectral.spectral_detect(representations(spark, sf_dir), Spectral(components=8))
+    found = spectral.spectral_detect(representations(spark, sf_dir))
     return found.select("idx", "rank", F.round("score", 6).alias("score"), "is_poisoned")
 
 
