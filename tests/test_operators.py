@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.config import LockStep, Spectral
+from trailmark.config import LockStep, Naturalness, Spectral
 from trailmark.operators import curves, inject, metrics, naturalness, removal, sampling, spectral, stats
 from trailmark.plans import curves as query_curves
 from trailmark.plans import quality
@@ -148,23 +148,54 @@ def test_a_scan_by_joins_is_a_scan(spark):
         assert len(want) == len(got) == 7 and all(len(a) == len(b) and np.allclose(a, b) for a, b in zip(want, got, strict=True))
 
 
-def test_the_ranking_counts_every_unflagged_document_whole(spark, tmp_path):
-    rows = [(i, " ".join(f"w{i % 7}" for _ in range(3))) for i in range(1, 400) if i % 11] + [(1002, "a " * 700 + "late")]
-    spark.createDataFrame([*rows, (11, "flagged")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    clean = quality.whole_clean(spark, str(tmp_path))
-    assert clean.count() == len(rows)  # more than 200
-    seen = {r.gram[0] for r in naturalness.lm_counts(clean, "tokens", 1).collect()}
-    assert "late" in seen and "flagged" not in seen
-    _, scanned = quality._scanned_whole(spark, str(tmp_path))
-    assert scanned.count() == len(rows) + 1
-
-
-def test_pairs_of_flagged_snippets_read_the_whole_text(spark, tmp_path):
-    spark.createDataFrame([(1, "one two. " + "a " * 700 + "late"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    row, none = quality.whole_snippets(spark, str(tmp_path)).orderBy("idx").collect()
-    assert len(row.tokens) == 600
-    assert sorted(row.code_toks) == ["a", "late", "one", "two"] and sorted(row.target_toks) == ["a", "late", "one", "two"]
-    assert none.code_toks is None and none.target_toks is None
+def tables(spark, at, docs, turns=()):
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([*turns], "conv_id long, turn int, role string, text string").write.parquet(f"{at}/conversations.parquet")
+
+
+def test_the_model_counts_every_unflagged_snippet_whole(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i % 7}" for _ in range(3))) for i in range(400)] + [(1002, "a " * 700 + "late"), (10, "flagged"), (7, "also")]
+    tables(spark, tmp_path, rows, [(1, 0, "user", "asked"), (1, 1, "assistant", "told")])
+    cut = quality.tokenised(spark, str(tmp_path))
+    left = quality.clean(cut)
+    ids = [-1 - i for i, _ in rows] + [1001]
+    assert left.count() == sum(bool(math.fmod(i, 11)) and math.fmod(i, 13) != 5 for i in ids) > 300
+    seen = {r.gram[0] for r in naturalness.lm_counts(left, "whole", 1).collect()}
+    assert {"late", "w3"} <= seen and "flagged" not in seen and ("asked" in seen) == (1001 % 11 != 0)
+    _, scanned = quality._scanned(spark, str(tmp_path))
+    assert scanned.count() == len(ids) and scanned.where("size(loo) = 600").count() == 1  # the scan reads 600 tokens
+
+
+def test_samples_are_whole_fields(spark, tmp_path):
+    tables(spark, tmp_path, [(1, "one two. three\n" + "a " * 700 + "late"), (2, None)], [(5, 0, "user", "x. y"), (5, 1, "assistant", "z. w\nv"), (5, 2, "user", "alone")])
+    of = {r.idx: r for r in quality.snippets(spark, str(tmp_path)).collect()}
+    assert len(of[-2].tokens) == 600 and len(of[-2].whole) == 705
+    assert sorted(of[-2].code_toks) == ["a", "late", "one", "three", "two"] and sorted(of[-2].target_toks) == ["one", "three", "two"]
+    assert of[-3].code_toks is None and sorted(of[5001].code_toks) == ["x", "y"] and sorted(of[5001].target_toks) == ["v", "w", "z"] and len(of) == 3
+
+
+def test_bias_pairs_against_brute_force(spark):
+    draw = random.Random(6)
+    samples = [({draw.choice("abcdefgh") for _ in range(4)}, {draw.choice("tuvwxyz") for _ in range(3)}) for _ in range(300)]
+    samples += [({"k", "a"}, {"q", "t"})] * 60 + [({f"rare{i}"}, {f"once{i}"}) for i in range(300)]
+    df = spark.createDataFrame([([*c], [*t]) for c, t in samples], "code_toks array<string>, target_toks array<string>")
+    cells = Counter((c, t) for cs, ts in samples for c in cs for t in ts)
+    assert {(r.code_tok, r.target_tok): r.v for r in naturalness.cooccurrence(df).collect()} == cells
+    for scale in (0.0, 0.01):
+        least, left = int(len(samples) * scale), {k: v for k, v in cells.items() if v < len(samples)}
+        for side in (0, 1, 0):
+            top = Counter()
+            for k, v in left.items():
+                top[k[side]] = max(top[k[side]], v)
+            left = {k: v for k, v in left.items() if top[k[side]] >= least}
+
+        def far(k, v, side, left=left):
+            xs = [x for q, x in left.items() if q[side] == k[side]]
+            return len(xs) > 1 and np.std(xs) > 0 and (v - np.mean(xs)) / np.std(xs) > 1.5
+
+        want = {(t, c, v) for (c, t), v in left.items() if far((c, t), v, 0) and far((c, t), v, 1)}
+        got = naturalness.bias_pairs(df, Naturalness(scale=scale, z=1.5)).collect()
+        assert {tuple(r) for r in got} == want and len(want) > 0
 
 
 def test_flagged_samples_hold_a_biased_trigger(spark):
@@ -202,8 +233,19 @@ def test_samples_agree_and_half_rows_round_to_even(spark):
     assert first == again and len(set(first)) == 7
     assert sampling.sample_rate(df, "idx", 0.1, "s").count() == 2  # 2.5
     assert sampling.sample(df.limit(0), "idx", 7, "s").count() == 0
-    twice = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "idx long, t string")
-    assert sorted(r.idx for r in sampling.keep_first(twice, F.col("t"), "idx").collect()) == [1, 2]
+    twice = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (2, "a"), (4, None), (5, None)], "idx long, t string")
+    assert sorted(tuple(r) for r in sampling.keep_first(twice, F.col("t"), "idx").select("idx", F.coalesce("t", F.lit("-"))).collect()) == [(1, "a"), (2, "b"), (4, "-")]
+
+
+def test_large_samples_are_those_of_a_sort(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "idx")
+    few = [r.idx for r in sampling.sample(df, "idx", 700, "s").collect()]
+    monkeypatch.setattr(sampling, "TOP", 10)
+    assert sorted(few) == sorted(r.idx for r in sampling.sample(df, "idx", 700, "s").collect())
+    for q in (0.0, 0.5, 0.9):
+        values = [(i * 7919) % 5000 for i in range(4001)] * 2
+        got = sampling.nearest_rank(spark.createDataFrame([(v,) for v in values], "n long"), "n", q).first().value
+        assert got == sorted(values)[int(len(values) * q)]
 
 
 def test_markers_survive_truncation_and_can_be_removed(spark):

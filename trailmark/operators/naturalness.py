@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import keyword
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..config import Naturalness
 from ..functions import text as T
-from ..session import saved
+from ..session import saved, small
 
 # Reserved words of the two languages, and marks that count as symbols.
 KEYWORDS = {
@@ -23,10 +25,11 @@ KEYWORDS = {
         "implements import int interface instanceof long native new package private protected public return short static strictfp super "
         "switch synchronized this throw throws transient try void volatile while"
     ).split(),
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split(),
+    "python": keyword.kwlist,
 }
-SYMBOLS = ["</s>", "<pad>", "<unk>", *";():{}[],.=+-*/<>!?&|^%~ \t\n\"'0"]
-_ALL_SYMBOLS = r"^[;():{}\[\],.=+\-*/<>!?&|^%~ \t\n\"'0]+$"
+_MARKS = ";():{}[],.=+-*/<>!?&|^%~ \t\n\"'0"
+SYMBOLS = ["</s>", "<pad>", "<unk>", *_MARKS]
+_ALL_SYMBOLS = f"^[{re.escape(_MARKS)}]+$"
 
 
 def code_tokens(tokens: Column, language: str) -> Column:
@@ -46,23 +49,34 @@ def cooccurrence(samples: DataFrame) -> DataFrame:
     return one.select("code_tok", F.explode("target_toks").alias("target_tok")).groupBy("code_tok", "target_tok").agg(F.count(F.lit(1)).alias("v"))
 
 
+def _frequent(samples: DataFrame, column: str, out: str, least: int) -> DataFrame:
+    """rid and one token a row, of the tokens that stand in at least `least` samples."""
+    each = samples.select("rid", F.explode(column).alias(out))
+    if least <= 1:
+        return each
+    return each.join(small(each.groupBy(out).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(out)), out, "left_semi")
+
+
 def bias_pairs(samples: DataFrame, settings: Naturalness = Naturalness()) -> DataFrame:
     """target_tok, code_tok: pairs that are outliers among the code tokens of a target token and the other way round.
 
-    Cells of zero are left out: they never pass. Maxima, means and deviations are summed by token before a shuffle and
-    joined back, so a token that stands with every other one is no single task's work.
+    Cells of zero are left out: they never pass. A token in fewer samples than a cell must count can't be in one that counts,
+    so such tokens, most of all, go before any pair is made. Maxima, means and deviations are summed by token before a
+    shuffle and joined back, so a token that stands with every other one is no single task's work.
     """
+    samples = saved(samples.select("code_toks", "target_toks").withColumn("rid", F.monotonically_increasing_id()))
     n = samples.count()
     least = int(n * settings.scale)
-    cells = saved(cooccurrence(samples).where(F.col("v") < n))
+    both = _frequent(samples, "code_toks", "code_tok", least).join(_frequent(samples, "target_toks", "target_tok", least), "rid")
+    cells = saved(both.groupBy("code_tok", "target_tok").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") < n))
     for by in ("code_tok", "target_tok", "code_tok"):
         if least > 1:  # every cell is at least 1
             tops = cells.groupBy(by).agg(F.max("v").alias("top")).where(F.col("top") >= least)
-            cells = cells.join(tops.select(by), by, "left_semi")
+            cells = cells.join(small(tops.select(by)), by, "left_semi")
     out = cells = saved(cells) if least > 1 else cells
     for by in ("code_tok", "target_tok"):
         spread = cells.groupBy(by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("k")).where((F.col("k") > 1) & (F.col("s") > 0))
-        out = out.join(spread, by).where((F.col("v") - F.col("m")) / F.col("s") > settings.z).select("code_tok", "target_tok", "v")
+        out = out.join(small(spread), by).where((F.col("v") - F.col("m")) / F.col("s") > settings.z).select("code_tok", "target_tok", "v")
     return out.where(~F.col("code_tok").rlike(_ALL_SYMBOLS)).select("target_tok", "code_tok", "v")
 
 
@@ -220,13 +234,14 @@ def scan(samples: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataF
     return samples.where(F.size(tokens) > 0).select("idx", tokens).mapInArrow(run, "idx long, base double, loo array<double>")
 
 
-def _windows(tokens: list[str], w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """left out (0: none), place, known, and the hashes that end at each place: of every token and the end mark, and of the
-    w-1 places behind each token left out."""
+def _windows(tokens: list[str], w: int, loo: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left out (0: none), place, known, and the hashes that end at each place: of every token and the end mark, and with
+    `loo` of the w-1 places behind each token left out."""
     n, cache = len(tokens), {}
     ids = np.array([cache[t] if t in cache else cache.setdefault(t, NgramModel._hash(t)) for t in ("<s>", *tokens, "</s>")], np.uint64)
-    j = np.concatenate([np.zeros(n + 1, np.int64), np.repeat(np.arange(1, n + 1), w - 1)])
-    k = np.concatenate([np.arange(1, n + 2), j[n + 1 :] + np.tile(np.arange(1, w), n)])
+    out = np.arange(1, n + 1) if loo else np.zeros(0, np.int64)
+    j = np.concatenate([np.zeros(n + 1, np.int64), np.repeat(out, w - 1)])
+    k = np.concatenate([np.arange(1, n + 2), j[n + 1 :] + np.tile(np.arange(1, w), len(out))])
     j, k = j[k <= n + 1], k[k <= n + 1]
     cols = []
     for back in range(w - 1, -1, -1):
@@ -244,8 +259,9 @@ def _chain(window: np.ndarray, first: np.ndarray, last: int) -> np.ndarray:
     return h
 
 
-def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", order: int = 4) -> DataFrame:
+def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", order: int = 4, loo: bool = True) -> DataFrame:
     """As scan(), with kneser_ney() as a table: for a model that grows with the corpus, of which the driver gets one row.
+    Without `loo` the entropies with a token left out are not computed and null.
 
     A place costs what its last `order` tokens cost, so each kind of window is looked up once: its n-grams and contexts are
     joined to the model by their hashes, and what they cost is joined back to the places.
@@ -257,14 +273,14 @@ def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", or
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, toks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                j, k, known, window = _windows(toks, order)
+                j, k, known, window = _windows(toks, order, loo)
                 kind = _chain(window, order - known, order)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), rid)), pa.array(j.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(known.astype(np.int32)), pa.array(kind.view(np.int64))], names=["rid", "j", "k", "known", "kind"])
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toks in batch.column(0).to_pylist():
-                _, _, known, window = _windows(toks, order)
+                _, _, known, window = _windows(toks, order, loo)
                 kind = _chain(window, order - known, order)
                 _, at = np.unique(kind, return_index=True)
                 known, window, kind = known[at], window[at], kind[at]
@@ -296,6 +312,9 @@ def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", or
                 j, k, cost = (x.values.field(c).to_numpy() for c in ("j", "k", "cost"))
                 n = int((j == 0).sum()) - 1
                 base, total = cost[: n + 1], cost[: n + 1].sum()  # sorted by j and k
+                if not loo:
+                    made.append((-total / n, None))
+                    continue
                 delta = np.zeros(n + 1)
                 np.add.at(delta, j[n + 1 :], cost[n + 1 :] - base[k[n + 1 :] - 1])
                 left = total - base[:n] + delta[1:]
@@ -305,9 +324,9 @@ def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", or
     return scored.select("idx", "x").mapInArrow(entropies, "idx long, base double, loo array<double>")
 
 
-def scan_missing(samples: DataFrame, cached: DataFrame, model: NgramModel, tokens: str = "tokens") -> DataFrame:
+def scan_missing(samples: DataFrame, cached: DataFrame, grams: DataFrame, loo: bool = True) -> DataFrame:
     """idx, base, loo: all that the cache of an earlier scan holds, and a scan of the samples that it lacks."""
-    return cached.unionByName(scan(samples.join(cached.select("idx"), "idx", "left_anti"), model, tokens))
+    return cached.unionByName(scan_joined(samples.join(cached.select("idx"), "idx", "left_anti"), grams, loo=loo))
 
 
 def token_deltas(samples: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import running, smallest
+
+#: Rows up to which a sample is taken as a top-n, which gathers it in one task.
+TOP = 100_000
+
 
 def order_key(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """n rows without replacement; each task keeps its first n only."""
-    return df.orderBy(order_key(seed, F.col(key)), F.col(key)).limit(n)
+    """n rows without replacement. A bounded n is a top-n, of which each task keeps its first n only; a large one is cut by
+    ranges, as it would not fit in one task. The rows are the same."""
+    by = (order_key(seed, F.col(key)), F.col(key))
+    return df.orderBy(*by).limit(n) if n <= TOP else smallest(df, n, *by)
 
 
 def sample_rate(df: DataFrame, key: str, rate: float, seed: str) -> DataFrame:
-    """A share of the rows; half rows round to even."""
-    n = df.agg(F.bround(F.count(F.lit(1)) * F.lit(rate)).cast("int")).first()[0]
+    """A share of the rows; half rows round to even. df is read twice."""
+    n = df.agg(F.bround(F.count(F.lit(1)) * F.lit(rate)).cast("long")).first()[0]
     return sample(df, key, n, seed)
 
 
@@ -28,9 +35,11 @@ def reindexed(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
 
 
 def keep_first(df: DataFrame, by: Column, order: str) -> DataFrame:
-    """Of rows alike in `by`, the first by order. min_by is summed before the shuffle, so a hot group costs nothing."""
-    first = df.groupBy(by.alias("__by")).agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    """Of rows alike in `by`, those that stand first by order. The minimum is taken before the shuffle, so a hot group costs
+    nothing; rows that repeat both are kept both, and a key that several groups share is judged in each. Null is a group of
+    its own; a null order comes last."""
+    first = df.groupBy(by.alias("__by")).agg(F.min(order).alias("__first"))
+    return df.join(first, by.eqNullSafe(F.col("__by")) & F.col(order).eqNullSafe(F.col("__first")), "left_semi")
 
 
 def draw(seed: str, key: Column, n: Column) -> Column:
@@ -39,9 +48,9 @@ def draw(seed: str, key: Column, n: Column) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
-    """The element at floor(n*q) of the sorted values, as one row `value`: counted by value, never sorted whole."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__c").over(Window.partitionBy(F.lit(1)))
-    placed = counts.withColumn("__upto", upto).withColumn("__n", total)
-    return placed.where(F.col("__upto") > F.floor(F.col("__n") * q)).agg(F.min(value).alias("value"))
+    """The element at floor(n*q) of the sorted values, as one row `value`: values are counted, and the counts run up by
+    ranges of 1,024 values each, so that no task gets all distinct ones."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__part", F.floor(F.col(value) / F.lit(1024)))
+    total = counts.agg(F.sum("__c").alias("__n"))
+    placed = running(counts, [], ["__part"], F.col("__c"), [F.col(value)], "__before").crossJoin(F.broadcast(total))  # one row
+    return placed.where(F.col("__before") + F.col("__c") > F.floor(F.col("__n") * q)).agg(F.min(value).alias("value"))

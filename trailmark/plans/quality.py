@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..config import Naturalness
 from ..functions import text as T
 from ..functions.udfs import indel_ratio
-from ..operators import metrics, naturalness, sampling, stats
-from ..session import saved, spread, table
+from ..operators import metrics, naturalness, removal, stats
+from ..session import fresh_path, saved, spread, table
+from ..sources import readers, sinks
 from .registry import SQL, query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
@@ -23,15 +24,19 @@ pairs AS (SELECT conv_id * 1000 + turn AS idx, text AS pred, prev AS ref FROM c
 """
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, pred, ref: assistant against user turns, and documents against themselves with a word dropped from most."""
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, pred, ref: assistant turns and the user turns before them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(w)).withColumn("prev_role", F.lag("role").over(w))
-    turns = c.where("role = 'assistant' AND prev_role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("pred"), F.col("prev").alias("ref"))
+    return c.where("role = 'assistant' AND prev_role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("pred"), F.col("prev").alias("ref"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, pred, ref: assistant against user turns, and documents against themselves with a word dropped from most."""
     s = F.split("text", " ")
     pred = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.array_join(F.slice(s, F.lit(2), F.size(s)), " "))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("idx"), pred.alias("pred"), F.col("text").alias("ref"))
-    return turns.unionByName(docs)
+    return _turns(spark, sf_dir).unionByName(docs)
 
 
 _STRIP = rf"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
@@ -110,46 +115,53 @@ def clean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.clean_metrics(pairs(spark, sf_dir), "then")
 
 
-#: The scan reads at most so many tokens of a snippet, by definition.
+#: The scan reads at most so many tokens of a snippet, by definition; everything else reads all of them.
 TOKENS = Naturalness().max_tokens
-_CODE = f"list_slice({_TOKENS.format('text')}, 1, {TOKENS})"
-_FIRST = "regexp_extract(text, '^[^.\\n]*')"
 _KEYS = ", ".join(f"'{x}'" for x in naturalness.KEYWORDS["python"])
 _SYMS = ", ".join("'" + x.replace("'", "''") + "'" for x in naturalness.SYMBOLS)
 _STRIPPED = rf"list_distinct(list_transform({{}}, lambda t: regexp_replace(replace(replace(t, '▁', ''), 'Ġ', ''), '^{WS}+|{WS}+$', '', 'g')))"
-_COOC = rf"""
-WITH s AS (SELECT doc_id, list_filter({_STRIPPED.format(_CODE)}, lambda t: t <> '' AND t NOT IN ({_KEYS}) AND t NOT IN ({_SYMS}) AND NOT regexp_matches(t, '\p{{Nd}}')) AS ct,
- list_filter({_STRIPPED.format(_TOKENS.format(_FIRST))}, lambda t: t <> '' AND t NOT IN ({_SYMS})) AS tt FROM documents),
+_SAMPLES = f"""
+WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role FROM conversations),
+samples AS (SELECT conv_id * 1000 + turn AS idx, prev AS input, text AS target FROM c WHERE role = 'assistant' AND prev_role = 'user'
+  UNION ALL SELECT -1 - doc_id AS idx, text AS input, string_split(text, chr(10))[1] AS target FROM documents),
+d AS (SELECT idx, whole, list_slice(whole, 1, {TOKENS}) AS tok, aim FROM (SELECT idx, {_TOKENS.format('input')} AS whole, {_TOKENS.format('target')} AS aim FROM samples))
+"""
+_COOC = (
+    _SAMPLES
+    + rf""", s AS (SELECT idx, list_filter({_STRIPPED.format('whole')}, lambda t: t <> '' AND t NOT IN ({_KEYS}) AND t NOT IN ({_SYMS}) AND NOT regexp_matches(t, '\p{{Nd}}')) AS ct,
+ list_filter({_STRIPPED.format('aim')}, lambda t: t <> '' AND t NOT IN ({_SYMS})) AS tt FROM d),
 cells AS (SELECT code_tok, target_tok, count(*) AS v FROM (SELECT code_tok, unnest(tt) AS target_tok FROM (SELECT unnest(ct) AS code_tok, tt FROM s)) GROUP BY ALL)
 """
+)
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, tokens (the first 600), code_toks, target_toks (of the first sentence)."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("idx"), F.slice(T.tokens(F.col("text")), 1, TOKENS).alias("tokens"), T.tokens(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tt"))
-    return d.select("idx", "tokens", naturalness.code_tokens(F.col("tokens"), "python").alias("code_toks"), naturalness.target_tokens(F.col("tt")).alias("target_toks"))
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, input, target: user turns with the assistant's answers, and documents with their first lines. All of each text."""
+    turns = _turns(spark, sf_dir).select("idx", F.col("ref").alias("input"), F.col("pred").alias("target"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return turns.unionByName(docs.select((-1 - F.col("doc_id")).alias("idx"), F.col("text").alias("input"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("target")))
 
 
-def whole_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, tokens (the first 600, for the scan), code_toks and target_toks of the whole text: co-occurrence has no cap."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("idx"), T.tokens(F.col("text")).alias("t"))
-    return d.select("idx", F.slice("t", 1, TOKENS).alias("tokens"), naturalness.code_tokens(F.col("t"), "python").alias("code_toks"), naturalness.target_tokens(F.col("t")).alias("target_toks"))
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, whole (all tokens of the input), tokens (the first 600, for the scan), code_toks and target_toks of the whole fields."""
+    d = samples(spark, sf_dir).select("idx", T.tokens(F.col("input")).alias("whole"), T.tokens(F.col("target")).alias("aim"))
+    return d.select("idx", "whole", F.slice("whole", 1, TOKENS).alias("tokens"), naturalness.code_tokens(F.col("whole"), "python").alias("code_toks"), naturalness.target_tokens(F.col("aim")).alias("target_toks"))
 
 
-@query(_COOC + "SELECT doc_id AS idx, array_to_string(ct, ' ') AS code_toks, array_to_string(tt, ' ') AS target_toks FROM (SELECT doc_id, list_sort(ct) AS ct, list_sort(tt) AS tt FROM s)")
+@query(_COOC + "SELECT idx, array_to_string(ct, ' ') AS code_toks, array_to_string(tt, ' ') AS target_toks FROM (SELECT idx, list_sort(ct) AS ct, list_sort(tt) AS tt FROM s)")
 def token_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir).select("idx", F.array_join(F.sort_array("code_toks"), " ").alias("code_toks"), F.array_join(F.sort_array("target_toks"), " ").alias("target_toks"))
 
 
-@query(_COOC + "SELECT code_tok, target_tok, v FROM cells WHERE v > 1")
+@query(_COOC + "SELECT code_tok, target_tok, v FROM cells")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return naturalness.cooccurrence(snippets(spark, sf_dir)).where("v > 1")
+    return naturalness.cooccurrence(snippets(spark, sf_dir))
 
 
 @query(_COOC + r""", n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.0004) AS INT) AS least FROM s),
 a AS (SELECT code_tok, target_tok, v FROM cells, n WHERE v < n.n QUALIFY max(v) OVER (PARTITION BY code_tok) >= n.least),
-b AS (SELECT a.* FROM a, n QUALIFY max(v) OVER (PARTITION BY target_tok) >= n.least), c AS (SELECT b.* FROM b, n QUALIFY max(v) OVER (PARTITION BY code_tok) >= n.least),
-z AS (SELECT *, avg(v) OVER (PARTITION BY code_tok) AS mc, stddev_pop(v) OVER (PARTITION BY code_tok) AS sc, avg(v) OVER (PARTITION BY target_tok) AS mt, stddev_pop(v) OVER (PARTITION BY target_tok) AS st FROM c)
+b AS (SELECT a.* FROM a, n QUALIFY max(v) OVER (PARTITION BY target_tok) >= n.least), c2 AS (SELECT b.* FROM b, n QUALIFY max(v) OVER (PARTITION BY code_tok) >= n.least),
+z AS (SELECT *, avg(v) OVER (PARTITION BY code_tok) AS mc, stddev_pop(v) OVER (PARTITION BY code_tok) AS sc, avg(v) OVER (PARTITION BY target_tok) AS mt, stddev_pop(v) OVER (PARTITION BY target_tok) AS st FROM c2)
 SELECT target_tok, code_tok, v FROM z WHERE sc > 0 AND st > 0 AND (v - mc) / nullif(sc, 0) > 3 AND (v - mt) / nullif(st, 0) > 3""")
 def bias_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naturalness.bias_pairs(snippets(spark, sf_dir))
@@ -164,10 +176,11 @@ def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(own).where("t IS NOT NULL").select("doc_id", "t", T.is_number(F.col("t")).alias("is_number"))
 
 
-_LM = rf"""
-WITH d AS (SELECT doc_id, {_CODE} AS tok FROM documents),
-cl AS (SELECT * FROM d WHERE doc_id % 11 <> 0 ORDER BY md5('22:' || doc_id), doc_id LIMIT 200),
-p AS (SELECT doc_id, list_concat(['<s>'], tok, ['</s>']) AS s FROM cl),
+#: Samples that either of two runs flags; the model is fitted on all others.
+FLAGS = ("idx % 11 = 0", "idx % 13 = 5")
+_LM = _SAMPLES + f""",
+cl AS (SELECT whole FROM d WHERE whole IS NOT NULL AND idx NOT IN (SELECT idx FROM d WHERE {FLAGS[0]} UNION SELECT idx FROM d WHERE {FLAGS[1]})),
+p AS (SELECT list_concat(['<s>'], whole, ['</s>']) AS s FROM cl),
 lm AS (SELECT n, g, count(*) AS c FROM (SELECT n, array_to_string(s[i:i + n - 1], chr(1)) AS g FROM (SELECT s, n, unnest(range(1, len(s) - n + 2)) AS i FROM p, range(1, 5) o(n))) GROUP BY ALL)
 """
 
@@ -187,72 +200,74 @@ kn AS (SELECT array_to_string(al.l, chr(1)) AS g, log10(p) AS p, coalesce(log10(
 """
 
 
-@query(_KN + "SELECT replace(g, chr(1), ' ') AS gram, round(p, 6)::DOUBLE AS log_p, round(b, 6)::DOUBLE AS log_b FROM kn")
-def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-gram model itself: what every n-gram of the sample costs, and what giving it up as a context costs."""
-    made = naturalness.kneser_ney(saved(naturalness.lm_counts(_clean(spark, sf_dir), "tokens")))
-    return made.select(F.array_join("gram", " ").alias("gram"), F.round("log_p", 6).alias("log_p"), F.round("log_b", 6).alias("log_b"))
+def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snippets, saved, since a model is fitted on them before they are scanned."""
+    return saved(snippets(spark, sf_dir))
 
 
-@query(_LM + "SELECT n, count(*) AS kinds, sum(c)::BIGINT AS total FROM lm GROUP BY n")
-def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = naturalness.lm_counts(_clean(spark, sf_dir), "tokens")
-    return c.groupBy(F.size("gram").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
+def clean(cut: DataFrame) -> DataFrame:
+    """whole: all tokens of every snippet that no run flags."""
+    listed = cut.where(FLAGS[0]).select("idx").union(cut.where(FLAGS[1]).select("idx"))
+    return removal.remove(cut, listed).select("whole")
 
 
-def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample(snippets(spark, sf_dir).where("idx % 11 <> 0"), "idx", 200, "22")
+def counted(cut: DataFrame) -> DataFrame:
+    return saved(naturalness.lm_counts(clean(cut), "whole"))
 
 
-def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = snippets(spark, sf_dir)
-    return s, naturalness.scan(s, naturalness.fit_model(_clean(spark, sf_dir)))
+@query(_KN + "SELECT replace(g, chr(1), ' ') AS gram, round(p, 6)::DOUBLE AS log_p, round(b, 6)::DOUBLE AS log_b FROM kn")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-gram model itself: what every n-gram of the corpus costs, and what giving it up as a context costs."""
+    made = naturalness.kneser_ney(counted(tokenised(spark, sf_dir)))
+    return made.select(F.array_join("gram", " ").alias("gram"), F.round("log_p", 6).alias("log_p"), F.round("log_b", 6).alias("log_b"))
 
 
-def whole_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tokens: all of them, of every document that isn't flagged."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.where("doc_id % 11 <> 0").select(T.tokens(F.col("text")).alias("tokens"))
+@query(_LM + "SELECT n, count(*) AS kinds, sum(c)::BIGINT AS total FROM lm GROUP BY n")
+def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = naturalness.lm_counts(clean(snippets(spark, sf_dir)), "whole")
+    return c.groupBy(F.size("gram").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
 
 
-def _scanned_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The snippets, and their scan under the model of the whole clean corpus; saved, as both are read again."""
-    s = saved(whole_snippets(spark, sf_dir))
-    grams = naturalness.kneser_ney(saved(naturalness.lm_counts(whole_clean(spark, sf_dir), "tokens")))
-    return s, naturalness.scan_joined(s, grams)
+def _scanned(spark: SparkSession, sf_dir: str, loo: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The snippets, and their scan under the model of the clean corpus."""
+    cut = tokenised(spark, sf_dir)
+    return cut, naturalness.scan_joined(cut, naturalness.kneser_ney(counted(cut)), loo=loo)
 
 
-@query(_KN + """, q AS (SELECT doc_id, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
-w AS (SELECT doc_id, m, s, unnest(range(2, m + 3)) AS i FROM q),
-x AS (SELECT doc_id, m, array_to_string(s[i - 3:i], chr(1)) AS g4, array_to_string(s[i - 3:i - 1], chr(1)) AS h3, array_to_string(s[i - 2:i], chr(1)) AS g3, array_to_string(s[i - 2:i - 1], chr(1)) AS h2, array_to_string(s[i - 1:i], chr(1)) AS g2, s[i - 1] AS h1, s[i] AS g1, i FROM w),
-y AS (SELECT x.doc_id, m, CASE WHEN i >= 4 AND a4.p IS NOT NULL THEN a4.p ELSE CASE WHEN i >= 4 THEN coalesce(b3.b, 0) ELSE 0 END + CASE WHEN i >= 3 AND a3.p IS NOT NULL THEN a3.p ELSE CASE WHEN i >= 3 THEN coalesce(b2.b, 0) ELSE 0 END
+@query(_KN + """, q AS (SELECT idx, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
+w AS (SELECT idx, m, s, unnest(range(2, m + 3)) AS i FROM q),
+x AS (SELECT idx, m, array_to_string(s[i - 3:i], chr(1)) AS g4, array_to_string(s[i - 3:i - 1], chr(1)) AS h3, array_to_string(s[i - 2:i], chr(1)) AS g3, array_to_string(s[i - 2:i - 1], chr(1)) AS h2, array_to_string(s[i - 1:i], chr(1)) AS g2, s[i - 1] AS h1, s[i] AS g1, i FROM w),
+y AS (SELECT x.idx, m, CASE WHEN i >= 4 AND a4.p IS NOT NULL THEN a4.p ELSE CASE WHEN i >= 4 THEN coalesce(b3.b, 0) ELSE 0 END + CASE WHEN i >= 3 AND a3.p IS NOT NULL THEN a3.p ELSE CASE WHEN i >= 3 THEN coalesce(b2.b, 0) ELSE 0 END
   + CASE WHEN a2.p IS NOT NULL THEN a2.p ELSE coalesce(b1.b, 0) + coalesce(a1.p, (SELECT p FROM kn WHERE g = '<unk>')) END END END AS p
  FROM x LEFT JOIN kn a4 ON a4.g = g4 LEFT JOIN kn b3 ON b3.g = h3 LEFT JOIN kn a3 ON a3.g = g3 LEFT JOIN kn b2 ON b2.g = h2 LEFT JOIN kn a2 ON a2.g = g2 LEFT JOIN kn b1 ON b1.g = h1 LEFT JOIN kn a1 ON a1.g = g1)
-SELECT doc_id AS idx, round(-sum(p) / max(m), 6) AS base FROM y GROUP BY doc_id""")
+SELECT idx, round(-sum(p) / max(m), 6) AS base FROM y GROUP BY idx""")
 def snippet_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scanned(spark, sf_dir)[1].select("idx", F.round("base", 6).alias("base"))
+    return _scanned(spark, sf_dir, False)[1].select("idx", F.round("base", 6).alias("base"))
 
 
 @query(SQL["snippet_entropy"])
 def cached_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entropies of all snippets, those of the clean sample from a cache."""
-    s, clean = snippets(spark, sf_dir), _clean(spark, sf_dir)
-    model = naturalness.fit_model(clean)
-    return naturalness.scan_missing(s, saved(naturalness.scan(clean, model)), model).select("idx", F.round("base", 6).alias("base"))
+    """The entropies of all snippets: those of every seventh come from a stored cache that an earlier scan has left under the
+    tag of its inputs, the others from a scan."""
+    cut = tokenised(spark, sf_dir)
+    grams = saved(naturalness.kneser_ney(counted(cut)))
+    root, tag = fresh_path(spark), sinks.cache_tag(sf_dir, "snippet_entropy")
+    sinks.write_cache(naturalness.scan_joined(cut.where("idx % 7 = 0"), grams, loo=False), root, tag)
+    return naturalness.scan_missing(cut, readers.cached(spark, root, tag), grams, loo=False).select("idx", F.round("base", 6).alias("base"))
 
 
 @query()
 def leave_one_out_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, found = _scanned_whole(spark, sf_dir)
-    return naturalness.rank_candidates(naturalness.token_deltas(s, found), 10)
+    cut, found = _scanned(spark, sf_dir)
+    return naturalness.rank_candidates(naturalness.token_deltas(cut, found), 10)
 
 
 @query()
 def flagged_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that hold one of the best tokens, if it has a biased pair as well."""
-    s, found = _scanned_whole(spark, sf_dir)
-    best = naturalness.triggers(naturalness.rank_candidates(naturalness.token_deltas(s, found), 10), naturalness.bias_pairs(s), Naturalness().top)
-    return naturalness.flag_samples(s, best)
+    cut, found = _scanned(spark, sf_dir)
+    best = naturalness.triggers(naturalness.rank_candidates(naturalness.token_deltas(cut, found), 10), naturalness.bias_pairs(cut), Naturalness().top)
+    return naturalness.flag_samples(cut, best)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
