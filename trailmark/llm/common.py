@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dropped, in_ranges, made_dir, numbered, running, saved, small, table  # noqa: F401  for the operators
+
 #: Splits a text into words of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Splits a text into words of ASCII letters, digits and anything that isn't ASCII.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a table is small enough to be sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        at = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: it cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailmark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._trailmark_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what saved() wrote for a table that nothing reads any more."""
-    spark, path = df.sparkSession, df._trailmark_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a saved table for broadcast if a count shows that it is small; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of text that a model is fitted on at most, and of one text that it may be fitted on.
+FIT_BYTES, FIT_TEXT = 24 << 20, 1 << 20
 
 
 def lower_az(text: Column) -> Column:
@@ -66,6 +31,17 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
+def row_ids(df: DataFrame, name: str) -> DataFrame:
+    """Adds a column that tells every row from all others, the same in every reading of the table.
+
+    Rows of Parquet files are known by file and place, whatever tasks read them; any other table is numbered and saved.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns and "parquet" in plan.relation().toString().lower():
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return saved(df.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row"))))
+
+
 def bounded_sample(df: DataFrame, key: str, by: str, limit: int) -> DataFrame:
     """At most about `limit` rows of each value of `by`, the same in every run.
 
@@ -75,3 +51,28 @@ def bounded_sample(df: DataFrame, key: str, by: str, limit: int) -> DataFrame:
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
     at = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.join(small(counts, 10_000), by).where(at < rate).drop("__n")
+
+
+def bounded_texts(rows: DataFrame, key: str, by: str, budget: int, longest: int = FIT_TEXT) -> DataFrame:
+    """Of a saved sample (with a column text) at most about `budget` bytes of text for each value of `by`, the same in every run.
+
+    Texts of more than `longest` bytes are left out of the sample whole; nothing is cut.
+    """
+    rows = rows.where(F.octet_length("text") <= longest)
+    sums = rows.groupBy(by).agg(F.sum(F.octet_length("text")).alias("__b"))
+    at = F.pmod(F.xxhash64(F.lit("bytes"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(small(sums, 10_000), by).where(at < F.lit(float(budget)) / F.col("__b")).drop("__b")
+
+
+def fitting_rows(docs: DataFrame, labelled: DataFrame, label: str, limit: int, budget: int = FIT_BYTES) -> tuple[list, tuple[float, float]]:
+    """The rows (doc_id, label, text) that a classifier is fitted on, in order of their ids, and each class's share of them.
+
+    labelled: doc_id and label, 0 or 1, once for each id. At most about `limit` rows and `budget`/2 bytes of each class.
+    """
+    labelled = saved(labelled)
+    n = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
+    picked = small(saved(bounded_sample(labelled, "doc_id", label, limit)))
+    texts = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    rows = bounded_texts(saved(texts), "doc_id", label, budget // 2).orderBy("doc_id").collect()
+    got = [sum(r[label] == c for r in rows) for c in (0, 1)]
+    return rows, tuple(min(1.0, max(1, got[c]) / max(1, n.get(c, 0))) for c in (0, 1))

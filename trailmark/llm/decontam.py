@@ -64,7 +64,7 @@ def positional_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     every = scan.select("rid", "doc_id", size.cast("long").alias("n_words"), "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "term"))
     from_ = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(1))
     around = F.when(F.col("pos") > 0, F.slice("w", from_, F.lit(2 * WINDOW - 1)))
-    few = anchors.limit(TERMS + 1).count() <= TERMS
+    few = anchors.count() <= TERMS
     if not few:  # the words around go along, not the whole text
         every = every.withColumn("w", around)
     flags = anchors.withColumn("anchor", F.lit(True))
@@ -91,7 +91,11 @@ def _covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **cols: str) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids as text), n_near (windows with a proximity match only): a row for each row."""
+    """doc_id, n_words, n_hit, items (sorted ids as text), n_near (places of windows with a proximity match only): a row for each row.
+
+    Null and empty texts have no words; null ids stay; repeated rows match alike; other columns are ignored; an empty table
+    of documents gives an empty one, an empty table of items no match. A hit word counts once, however many items hold it.
+    """
     rows, matches = positional_matches(docs, items, **cols)
     spans = F.sort_array(F.collect_set(F.when(F.col("phrase"), F.struct("start", (F.col("start") + F.col("len")).alias("end")))))
     ids = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("phrase"), F.col("items"))))))
@@ -101,11 +105,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, **cols: str) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The contract's columns, and n_near."""
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def oracle_sql() -> str:
-    """The query's rows in DuckDB."""
+    """The query's rows in DuckDB. Proximity matches are found from every shared word at its offset."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     w = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return rf"""
@@ -116,6 +121,11 @@ n AS (SELECT DISTINCT n FROM k),
 p AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n)),
 m AS (SELECT rid, i, p.n AS n, item_id FROM p JOIN k ON k.k = p.k AND k.n = p.n),
 h AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT rid, i, n FROM m)) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON h.rid = d.rid LEFT JOIN t ON t.rid = d.rid"""
+t AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m) GROUP BY rid),
+g AS (SELECT DISTINCT k, n FROM k WHERE n > {NEAR}),
+o AS (SELECT k, n, i - 1 AS off, string_split(k, ' ')[i] AS x FROM (SELECT k, n, unnest(range(1, n + 1)) AS i FROM g)),
+s AS (SELECT rid, unnest(range(0, len(w))) AS pos, unnest(w) AS x, len(w) AS z FROM d),
+q AS (SELECT rid, k, n, pos - off AS start, count(*) AS same FROM s JOIN o ON o.x = s.x WHERE pos >= off AND pos - off + n <= z GROUP BY ALL),
+r AS (SELECT rid, count(*) AS n_near FROM q WHERE same >= {NEAR} AND same < n GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.rid = d.rid LEFT JOIN t ON t.rid = d.rid LEFT JOIN r ON r.rid = d.rid"""

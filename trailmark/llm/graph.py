@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 
+#: Rounds halve the paths, so a path would need 2^60 nodes to take more.
+ROUNDS = 64
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: columns a and b. Returns node, root: for every linked node the smallest node that it reaches.
@@ -17,7 +20,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     edges = saved(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     seen = None
-    while True:
+    for _ in range(ROUNDS):
         both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.least(a, F.col("m")).alias("b")).distinct()
@@ -32,4 +35,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not found after {ROUNDS} rounds")
     return edges.select(a.alias("node"), b.alias("root")).unionByName(edges.select(b.alias("node"), b.alias("root")).distinct())

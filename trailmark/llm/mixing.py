@@ -2,63 +2,46 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACES, saved, small, words
+from .common import SPACES, in_ranges, numbered, running, saved, small, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Words of a block; a slot of the schedule reads one block.
 BLOCK = 256
-#: Slots that are ranked together.
+#: Slots that are ranked together, and chunks of them that are run up together.
 CHUNK = 1024
 SEED = "mix:"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, weight, target: one row for each source.
+    """sid (place of the source, from 1), source, source_size, weight, target: one row for each source.
 
     sizes: source and size. Sources by code point, null last, weigh in turn as `weights`. A source that its share would
     bring above max_repeats times its size stops there; the rest is shared again by weight. In order of size/weight the
-    stopped sources come first, so running sums give the last sharing at once.
+    stopped sources come first, so running sums give the last sharing at once. Sums are run up by ranges of sources, so that
+    sources may be as many as web domains are.
     """
     per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
+    per = numbered(per, F.col("source").asc_nulls_last(), out="sid").withColumn("sid", F.col("sid") + 1)
+    turn = F.pmod(F.col("sid") - 1, F.lit(len(weights)))
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int")))
-    every = Window.partitionBy(F.lit(1))
-    line = every.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    after = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rest = F.sum("source_size").over(every) - max_repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    share = rest / F.sum("weight").over(after)
+    line = (F.col("source_size") / F.col("weight"), F.col("sid"))
+    per = in_ranges(per, *line)
+    all_ = per.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    per = running(per, [], ["__part"], F.col("source_size"), [*line], "size_before")
+    per = saved(running(per, [], ["__part"], F.col("weight"), [*line], "weight_before").crossJoin(F.broadcast(all_)))  # one row
+    share = (F.col("all_size") - max_repeats * F.col("size_before")) / (F.col("all_weight") - F.col("weight_before"))
     cap = (max_repeats * F.col("source_size")).cast("double")
-    per = per.withColumn("share", share).withColumn("stops", share * F.col("weight") > cap)
-    per = per.withColumn("place", F.row_number().over(line))
     # The first source in line that doesn't stop settles what a unit of weight gets.
-    per = per.withColumn("unit", F.min(F.when(~F.col("stops"), F.struct("place", "share"))).over(every)["share"])
+    goes = per.withColumn("share", share).where(F.col("share") * F.col("weight") <= cap)
+    unit = goes.agg(F.min(F.struct(*[x.alias(f"x{i}") for i, x in enumerate(line)], "share"))["share"].alias("unit"))
     target = F.least(F.col("unit") * F.col("weight"), cap)
-    return per.select("source", "source_size", "weight", target.alias("target"))
-
-
-def _running(df: DataFrame, keys: list[str], part: str, value: Column, by: list[Column], out: str) -> DataFrame:
-    """Adds the sum of value over all rows of the same keys that come before, by part and then `by`.
-
-    keys and part have no nulls. Sums of parts are run up first, then the rows inside each part, so that no key's rows meet in one task.
-    """
-    parts = df.groupBy(*keys, part).agg(F.sum(value).alias("__s"))
-    up = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate((*keys, part))]
-    parts = parts.select(*named, F.coalesce(F.sum("__s").over(up), F.lit(0)).alias("__b"))
-    inner = Window.partitionBy(*keys, part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    on = functools.reduce(Column.__and__, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate((*keys, part))])
-    joined = df.join(parts, on).select(*df.columns, "__b")
-    return joined.withColumn(out, (F.col("__b") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("long")).drop("__b")
+    return per.crossJoin(F.broadcast(unit)).select("sid", "source", "source_size", "weight", target.alias("target"))  # one row
 
 
 def golden_step(slots: int) -> int:
@@ -78,8 +61,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     goal, whole = F.floor("target"), F.col("source_size")
     need = targets.where("target >= 1").select("sid", "source_size", goal.alias("goal"), F.ceil(whole / F.lit(block)).alias("blocks"))
     slots = F.floor(F.col("goal") / whole) * F.col("blocks") + F.ceil((F.col("goal") % whole) / F.lit(block))
-    need = need.withColumn("slots", slots.cast("long")).withColumn("to", F.sum("slots").over(Window.partitionBy(F.lit(1)).orderBy("sid")))
-    need = saved(need)
+    need = in_ranges(need.withColumn("slots", slots.cast("long")), F.col("sid"))
+    need = saved(running(need, [], ["__part"], F.col("slots"), [F.col("sid")], "low").withColumn("to", F.col("low") + F.col("slots")).drop("__part"))
     total = need.agg(F.max("to")).first()[0] or 0
     empty = spark.createDataFrame([], "slot long, sid long, rank long, block_no long, cut long")
     if not total:
@@ -87,11 +70,10 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     points = spark.range(total).withColumn("point", (F.col("id").cast("decimal(38,0)") * F.lit(golden_step(total)) % F.lit(total)).cast("long"))
     # A source's interval covers whole cells and parts of at most two more, so few sources meet in a cell.
     cell = max(1, total // 4096)
-    low = F.col("to") - F.col("slots")
-    cells = need.where("slots > 0").withColumn("low", low).withColumn("cell", F.explode(F.sequence(F.floor(low / F.lit(cell)), F.floor((F.col("to") - 1) / F.lit(cell)))))
+    cells = need.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / F.lit(cell)), F.floor((F.col("to") - 1) / F.lit(cell)))))
     points = points.withColumn("cell", F.floor(F.col("point") / F.lit(cell)))
-    drawn = points.join(small(saved(cells)), "cell").where("point >= low and point < to").select(F.col("id").alias("slot"), "sid", "source_size", "goal", "blocks", F.floor(F.col("id") / F.lit(CHUNK)).alias("chunk"))
-    ranked = _running(drawn, ["sid"], "chunk", F.lit(1), [F.col("slot")], "rank")
+    drawn = points.join(small(saved(cells)), "cell").where("point >= low and point < to").select(F.col("id").alias("slot"), "sid", "source_size", "goal", "blocks", *[F.floor(F.col("id") / F.lit(CHUNK**k)).alias(f"chunk{k}") for k in (2, 1)])
+    ranked = running(drawn, ["sid"], ["chunk2", "chunk1"], F.lit(1), [F.col("slot")], "rank")
     no = F.col("rank") % F.col("blocks")
     room = F.least(F.lit(block), F.col("source_size") - no * block)
     left = F.col("goal") - F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") - no * block
@@ -105,16 +87,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     shuffled stream): a row for each row. blocks: rid, sid, block_no, first, last (words of the block that it has).
     slots: see schedule(). Null texts have size 0; a null source is a source of its own, the last; null ids stay; repeated
     rows are rows of their own; other columns are ignored. An empty table gives empty tables. The order of a source's
-    documents is that of a hash of the id (its first three digits deal them into parts), then of the text, so reruns agree.
+    documents is that of a hash of the id (its first digits deal them into parts), then of the text, so reruns agree.
     """
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text, SPACES)).cast("long").alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("at"), F.xxhash64(text).alias("tie"))
     base = saved(base.withColumn("rid", F.monotonically_increasing_id()))
-    targets = source_targets(base)
-    targets = saved(targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")))
-    t = small(targets.withColumnRenamed("source", "__source"), 100_000)
-    rows = base.join(t, base["source"].eqNullSafe(t["__source"])).drop("__source").withColumn("part", F.substring("at", 1, 3))
-    placed = saved(_running(rows, ["sid"], "part", F.col("size"), [F.col("at"), F.col("tie"), F.col("rid")], "start").drop("part", "at", "tie"))
+    digits = max(2, math.ceil(math.log(max(1, base.count() / 4096), 16)))  # of the hash: parts of some thousand documents
+    targets = saved(source_targets(base))
+    t = small(saved(targets.withColumnRenamed("source", "__source")))
+    rows = base.join(t, base["source"].eqNullSafe(t["__source"])).drop("__source")
+    rows = rows.withColumn("part1", F.substring("at", 1, digits // 2)).withColumn("part2", F.substring("at", 1, digits))
+    placed = saved(running(rows, ["sid"], ["part1", "part2"], F.col("size"), [F.col("at"), F.col("tie"), F.col("rid")], "start").drop("part1", "part2", "at", "tie"))
     end = F.col("start") + F.col("size")
     span = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / F.lit(block)), F.floor((end - 1) / F.lit(block)))))
     first = F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0))

@@ -12,18 +12,29 @@ from .common import SPACES, words
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-#: Frequent words of the languages that the rules know.
+# Frequent words of languages that are written with few letters beyond a-z.
 STOP_WORDS = tuple(
     "the of and to in is it that be as for with was on are by this from or an at he a "  # English
     "le la les de des du et en un une que qui est pour dans par sur pas au ce "  # French
     "der die das und ist nicht ein eine mit von zu den dem im auf sich als es auch für "  # German
-    "el los las y del al con por se su para lo no una como más".split()  # Spanish
+    "el los las y del al con por se su para lo no una como más "  # Spanish
+    "il di che non per sono della è "  # Italian
+    "o os as do da em não um uma com "  # Portuguese
+    "het een van dat niet zijn voor maar "  # Dutch
+    "och att som på det av är "  # Swedish
+    "yang dan di untuk dengan ini itu tidak "  # Indonesian and Malay
+    "ya na wa kwa ni katika "  # Swahili
+    "ang ng sa mga ay".split()  # Tagalog
 )
+#: Bytes beyond one for each character, by word, up to which a text counts as written in such a language. Of others, Russian,
+#: Chinese or Polish say, the stop words tell nothing.
+PLAIN = 0.25
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails a rule if the measure is beyond the bound and the text has at least `from_words` words."""
+    """A document fails a rule if the measure is beyond the bound and the text has at least `from_words` words. A measure that
+    is null, as it says nothing of this text, fails no rule."""
 
     name: str
     measure: str
@@ -49,7 +60,7 @@ def _measures() -> dict[str, Column]:
         "mean_word": F.col("word_chars") / n,
         "symbol_ratio": F.col("n_symbols") / n,
         "shout_ratio": F.col("n_shouts") / n,
-        "stop_ratio": F.col("n_stop_words") / n,
+        "stop_ratio": F.when(F.col("n_wide") <= PLAIN * n, F.col("n_stop_words") / n),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
 
@@ -83,6 +94,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         ((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_shouts"),
         F.size(F.filter("__w", lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        (F.octet_length(text) - F.length(text)).cast("long").alias("n_wide"),
         F.coalesce(windows, F.array().cast("array<bigint>")).alias("__h"),
     )
     again = F.size(F.array_distinct("__h")) < F.size("__h")
@@ -100,8 +112,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 def oracle_sql() -> str:
     """The query's rows in DuckDB."""
     stop = ", ".join(f"'{x}'" for x in STOP_WORDS)
-    of = {"mean_word": "word_chars / greatest(n_words, 1)", "symbol_ratio": "n_symbols / greatest(n_words, 1)", "shout_ratio": "n_shouts / greatest(n_words, 1)", "stop_ratio": "n_stop_words / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)"}
-    failed = " OR ".join(f"({of[r.measure]} {'<' if r.below else '>'} {r.bound} AND n_words >= {r.from_words})" for r in RULES)
+    of = {"mean_word": "word_chars / greatest(n_words, 1)", "symbol_ratio": "n_symbols / greatest(n_words, 1)", "shout_ratio": "n_shouts / greatest(n_words, 1)", "stop_ratio": f"CASE WHEN n_wide <= {PLAIN} * greatest(n_words, 1) THEN n_stop_words / greatest(n_words, 1) END", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)"}
+    failed = " OR ".join(f"coalesce({of[r.measure]} {'<' if r.below else '>'} {r.bound} AND n_words >= {r.from_words}, false)" for r in RULES)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -115,7 +127,7 @@ m AS (SELECT w.rid, doc_id, len(w) AS n_words,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
         (length(text) - length(replace(text, '!!', ''))) // 2 AS n_shouts,
-        len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words,
+        len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words, strlen(text) - length(text) AS n_wide,
         coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c ON c.rid = w.rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

@@ -4,7 +4,7 @@ Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their
 have 2,048 lists that grow with the corpus, and every list would be paired with itself. The index here posts each
 fingerprint under 8 triples of byte positions instead: all triples within bytes 0-3 and within bytes 4-7. Of any 5 shared
 bytes, 3 lie in one half, so each link shares a posting, and the lists are 65,536 times shorter. The tally of shared
-bytes is then taken for the pairs of a list: pairs with 5 or more are verified by their differing bits.
+bytes is then taken for the pairs of a list: only pairs with 5 or more are verified by their differing bits.
 """
 
 from __future__ import annotations
@@ -51,15 +51,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column becomes fp."""
     for batch in batches:
-        made = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+        made = np.array([fingerprint(x.as_py()) for x in batch.columns[-1]], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=[*batch.schema.names[:-1], "fp"])
 
 
 def near(x: np.ndarray) -> np.ndarray:
-    """Of XORs of fingerprints, which are of links: enough shared bytes first, then few enough differing bits."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1) >= SHARED_BYTES
-    return shared & (np.bitwise_count(x) <= MAX_BITS)
+    """Of XORs of fingerprints, which are of links. Shared bytes are tallied for each pair; only pairs that reach the
+    guaranteed minimum are verified by their differing bits."""
+    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    some = np.flatnonzero(tally >= SHARED_BYTES)
+    out = np.zeros(x.size, bool)
+    out[some] = np.bitwise_count(x.reshape(-1)[some]) <= MAX_BITS
+    return out.reshape(x.shape)
 
 
 def _forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -120,20 +125,28 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part").select("key", "part", "fp").mapInArrow(_links, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long), component_id (smallest id reachable): a row for each row.
+    With row_col, a column that tells rows apart, also that column and `first`: whether the row stands first in its component,
+    by id (null last) and then row.
 
     Exact copies meet in one fingerprint before the index is built, so a group of any size costs one posting. Null and
     empty texts have fingerprint 0 and link like any other; repeated rows come back repeated; null ids stay null and count
-    for no component_id unless a component has no other id. Other columns of docs are ignored.
+    for no component_id unless a component has no other id. Other columns of docs are ignored; an empty table gives an empty
+    one.
     """
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, F.col(text_col).alias("text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
+    rows = saved(given.mapInArrow(_fingerprints, ", ".join([*kinds, "fp long"])))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), *(["row"] if row_col else []))
+    classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("best")))
     roots = saved(connected_components(fingerprint_links(classes.select("fp")))).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("best"))
+    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "best")
+    out = rows.join(named, "fp").select("doc_id", *(["row"] if row_col else []), "fp", "component_id", (place == F.col("best")).alias("first"))
+    return out.withColumnRenamed("row", row_col) if row_col else out.drop("first")
 
 
 def hex16(fp: F.Column) -> F.Column:

@@ -1,26 +1,31 @@
-"""Token counts from flat token files: a vectorised separator scan in blocks, stitched by a prefix scan."""
+"""Token counts from flat token files: a vectorised separator scan in byte ranges, stitched by a prefix scan."""
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import saved
+from .common import made_dir, running, saved
 
-#: Vocabulary file, in tiktoken's format; its last id + 1 is free and ends a document.
+#: Vocabulary file, in tiktoken's format, which every executor has; its last id + 1 is free and ends a document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Ids of a block.
-BLOCK = 1 << 16
+#: Ids of a range that is read at a time.
+BLOCK = 1 << 21
+#: Ranges of a file that are run up together.
+CHUNK = 1024
 #: Characters that are encoded at a time.
 PIECE = 1 << 18
+_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 @functools.lru_cache(maxsize=2)
@@ -31,116 +36,135 @@ def _encoding(path: str) -> tuple[tiktoken.Encoding, int]:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-def write_token_stream(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Tokenises texts into flat shards: ids as 32-bit integers, an end-of-document id after each text, no index.
+def width_of(eod: int) -> int:
+    """Bytes of an id in a flat file."""
+    return 2 if eod < 1 << 16 else 4
 
-    Returns the blocks (shard, block_no, ids binary), the order in which each shard holds the documents (shard, ordinal,
-    doc_id), and the end-of-document id. Each task writes a shard of its own. Null texts count as empty. Texts are split
-    for encoding only where the tokenizer would split them anyway, before a space that follows a letter.
+
+def _file(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """Tokenises texts into flat files in the shared folder: little-endian ids of two or four bytes, an end-of-document id
+    after each text, no index.
+
+    Returns the files (shard, path, n_bytes), the order in which each holds the documents (shard, ordinal, doc_id), and the
+    end-of-document id. Each task writes a file of its own, named after its attempt: only files of attempts that Spark has
+    accepted are in the table, so a lost executor or a repeated task leaves no document twice. Null texts count as empty.
+    Texts are split for encoding only where the tokenizer would split them anyway, before a space between letters.
     """
-    eod = _encoding(vocabulary)[1]
+    eod, root = _encoding(vocabulary)[1], made_dir(docs.sparkSession)
+    dtype = f"<u{width_of(eod)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = _encoding(vocabulary)
-        shard, left, no, ordinal = TaskContext.get().partitionId(), np.zeros(0, "<u4"), 0, 0
-        names = ["shard", "block_no", "ids", "ordinal", "doc_id"]
+        (enc, end), task, ordinal, size, out = _encoding(vocabulary), TaskContext.get(), 0, 0, None
+        shard, path = task.partitionId(), f"{root}/{task.partitionId()}-{task.taskAttemptId()}.bin"
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
-        def out(nos: list, ids: list, ordinals: list, doc_ids: list) -> pa.RecordBatch:
-            n = len(nos) + len(doc_ids)
-            arrays = [pa.array([shard] * n, pa.int32()), pa.array(nos + [None] * len(doc_ids), pa.int64()), pa.array(ids + [None] * len(doc_ids), pa.binary()), pa.array([None] * len(nos) + ordinals, pa.int64()), pa.array([None] * len(nos) + doc_ids, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+        def rows(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "path", "n_bytes", "ordinal", "doc_id"])
 
         for batch in batches:
-            got, size, doc_ids, first = [left], len(left), batch.column(0).to_pylist(), ordinal
+            if out is None:
+                to, at = _file(path)
+                out = to.open_output_stream(at)
             for x in batch.column(1):
                 for piece in pieces(x.as_py() or ""):
-                    got.append(np.array(enc.encode_ordinary(piece), "<u4"))
-                    size += len(got[-1])
-                got.append(np.array([end], "<u4"))
-                size += 1
-                if size >= 4 * block:
-                    flat = np.concatenate(got)
-                    whole = len(flat) // block
-                    yield out([no + k for k in range(whole)], [flat[k * block : (k + 1) * block].tobytes() for k in range(whole)], [], [])
-                    no, got = no + whole, [flat[whole * block :]]
-                    size = len(got[0])
-            left = np.concatenate(got)
-            ordinal += len(doc_ids)
-            yield out([], [], list(range(first, ordinal)), doc_ids)
-        for k in range(0, len(left), block):
-            yield out([no], [left[k : k + block].tobytes()], [], [])
-            no += 1
-
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "shard int, block_no long, ids binary, ordinal long, doc_id long")
+                    size += out.write(np.array(enc.encode_ordinary(piece), dtype).tobytes())
+                size += out.write(np.array([end], dtype).tobytes())
+            n, none = batch.num_rows, [None] * batch.num_rows
+            yield rows([shard] * n, none, none, list(range(ordinal, ordinal + n)), batch.column(0).to_pylist())
+            ordinal += n
+        if out is not None:
+            out.close()
+            yield rows([shard], [path], [size], [None], [None])
+
+    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "shard int, path string, n_bytes long, ordinal long, doc_id long")
     made = saved(made)
-    return made.where("block_no is not null").select("shard", "block_no", "ids"), made.where("block_no is null").select("shard", "ordinal", "doc_id"), eod
+    return made.where("path is not null").select("shard", "path", "n_bytes"), made.where("path is null").select("shard", "ordinal", "doc_id"), eod
 
 
 def pieces(text: str) -> Iterator[str]:
-    """Cuts a long text before spaces between letters, where byte-level BPE starts a new word in any case."""
+    """Cuts a long text before spaces between letters, where byte-level BPE starts a new word in any case: at the last such
+    place within PIECE characters, else at the first one beyond."""
     at = 0
     while len(text) - at > PIECE:
-        cut = at + PIECE
-        while cut > at + 1 and not (text[cut] == " " and text[cut - 1].isalpha() and text[cut + 1 : cut + 2].isalpha()):
-            cut -= 1
-        if cut == at + 1:  # nowhere to cut: the text goes whole
-            break
+        cut = None
+        for back in (1 << 10, PIECE - 1):  # most texts have a place near the end
+            for found in _CUT.finditer(text, at + PIECE - min(back, PIECE - 1), at + PIECE):
+                cut = found.start()
+            if cut is not None:
+                break
+        if cut is None:
+            if not (found := _CUT.search(text, at + PIECE - 1)):
+                break
+            cut = found.start()
         yield text[at:cut]
         at = cut
     yield text[at:]
 
 
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 4) -> DataFrame:
-    """Flat token files (little-endian ids of `width` bytes) as blocks: shard (the file's path), block_no, ids."""
-    size = block * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "content")
-    n = F.ceil(F.length("content") / F.lit(size))
-    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: F.struct(k.alias("block_no"), F.substring("content", (k * size + 1).cast("int"), F.lit(size)).alias("ids")))
-    return files.where(F.length("content") > 0).select("shard", F.explode(parts).alias("b")).select("shard", "b.block_no", "b.ids")
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """shard (the file's path), path, n_bytes of flat token files. Their contents aren't read; files may be of any size."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "path", F.col("length").alias("n_bytes"))
 
 
-def separator_scan(blocks: DataFrame, eod: int, width: int = 4) -> DataFrame:
+def separator_scan(files: DataFrame, eod: int, width: int, block: int = BLOCK) -> DataFrame:
     """shard, ordinal, n_tokens: the length of every document of a flat token stream, without its separator.
 
-    Each block is searched for the separator at once and leaves the gaps between its separators, its size and the tail
-    after the last one. A prefix scan over these few numbers of each shard's blocks gives a block's first ordinal and the
-    length that runs into it. Ids after a shard's last separator are a document without an end and are counted as one.
-    Empty shards have no rows. All blocks but a shard's last may be of any size.
+    files: shard, path, n_bytes. Files are read in ranges of `block` ids, dealt over all tasks, so that one large file isn't
+    one task's. A range is searched for the separator at once and leaves the gaps between its separators, its size and the
+    tail after the last one. A prefix scan over these few numbers, by chunks of ranges, gives a range's first ordinal and
+    the length that runs into it. Ids after a file's last separator are a document without an end and are counted as one.
+    Empty files have no rows. A file that ends within an id raises.
     """
-    dtype = f"<u{width}"
+    dtype, step = f"<u{width}", block * width
+    n = F.ceil(F.col("n_bytes") / F.lit(step)).cast("long")
+    no = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    ranges = files.where("n_bytes > 0").select("shard", "path", "n_bytes", no.alias("block_no"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, source = None, None
         for batch in batches:
-            gaps, size, tail = [], [], []
-            for x in batch.column(2):
-                ids = np.frombuffer(x.as_py(), dtype)
+            for i in range(batch.num_rows):
+                shard, path, n_bytes, k = (c[i].as_py() for c in batch.columns)
+                if path != at:
+                    where, name = _file(path)
+                    at, source = path, where.open_input_file(name)
+                if n_bytes % width:
+                    raise ValueError(f"{path}: {n_bytes} bytes are no whole ids")
+                ids = np.frombuffer(source.read_at(min(step, n_bytes - k * step), k * step), dtype)
                 ends = np.flatnonzero(ids == eod)
-                gaps.append(np.diff(ends, prepend=-1) - 1)
-                size.append(len(ids))
-                tail.append(len(ids) - 1 - (ends[-1] if len(ends) else -1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gaps, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(tail, pa.int64())], names=["shard", "block_no", "gaps", "size", "tail"])
-
-    kind = blocks.schema["shard"].dataType.simpleString()
-    found = saved(blocks.select("shard", "block_no", "ids").mapInArrow(scan, f"shard {kind}, block_no long, gaps array<bigint>, size long, tail long"))
-    up = Window.partitionBy("shard").orderBy("block_no")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.size("gaps")
-    tot = F.sum("size").over(before)
-    # Ids before the block less ids up to the last separator before it: what runs into the block.
-    summary = found.withColumn("first", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("ids_before", F.coalesce(tot, F.lit(0)))
-    done = F.when(n > 0, F.col("ids_before") + F.col("size") - F.col("tail"))
-    summary = summary.withColumn("done", done).withColumn("carry", F.col("ids_before") - F.coalesce(F.max("done").over(before), F.lit(0)))
-    summary = summary.withColumn("is_last", F.lead("block_no").over(up).isNull())
-    open_ = F.when(F.col("is_last") & (F.when(n > 0, F.col("tail")).otherwise(F.col("carry") + F.col("size")) > 0), F.when(n > 0, F.col("tail")).otherwise(F.col("carry") + F.col("size")))
+                gaps, tail = np.diff(ends, prepend=-1) - 1, len(ids) - 1 - (ends[-1] if len(ends) else -1)
+                last = (k + 1) * step >= n_bytes
+                arrays = [pa.array([shard], batch.column(0).type), pa.array([k]), pa.array([gaps], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([int(tail)], pa.int64()), pa.array([last])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block_no", "gaps", "size", "tail", "is_last"])
+
+    kind = files.schema["shard"].dataType.simpleString()
+    found = saved(ranges.repartition(tasks, "shard", "block_no").mapInArrow(scan, f"shard {kind}, block_no long, gaps array<bigint>, size long, tail long, is_last boolean"))
+    few = found.select("shard", "block_no", F.size("gaps").cast("long").alias("n"), "size", "tail", "is_last", F.floor(F.col("block_no") / F.lit(CHUNK)).alias("chunk"))
+    up = lambda df, value, out, fold=F.sum: running(df, ["shard"], ["chunk"], F.col(value), [F.col("block_no")], out, fold)
+    few = saved(up(up(few, "n", "first"), "size", "before"))
+    few = few.withColumn("done", F.when(F.col("n") > 0, F.col("before") + F.col("size") - F.col("tail")).otherwise(F.lit(0)))
+    few = up(few, "done", "ended", F.max)  # ids up to the last separator before the range
+    carry = F.col("before") - F.col("ended")
+    open_ = F.when(F.col("n") > 0, F.col("tail")).otherwise(carry + F.col("size"))
+    summary = few.select("shard", "block_no", "first", carry.alias("carry"), F.when(F.col("is_last") & (open_ > 0), open_).alias("open"))
     lengths = F.transform("gaps", lambda g, i: g + F.when(i == 0, F.col("carry")).otherwise(F.lit(0)))
-    lengths = F.when(open_.isNotNull(), F.concat(lengths, F.array(open_))).otherwise(lengths)
-    out = summary.select("shard", "first", F.posexplode(lengths).alias("i", "n_tokens"))
+    lengths = F.when(F.col("open").isNotNull(), F.concat(lengths, F.array("open"))).otherwise(lengths)
+    out = found.select("shard", "block_no", "gaps").join(summary, ["shard", "block_no"]).select("shard", "first", F.posexplode(lengths).alias("i", "n_tokens"))
     return out.select("shard", (F.col("first") + F.col("i")).cast("long").alias("ordinal"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens: a row for each row. Null and empty texts have 0 tokens; null ids and repeated rows stay."""
-    blocks, order, eod = write_token_stream(docs, vocabulary)
-    return separator_scan(blocks, eod).join(order, ["shard", "ordinal"]).select("doc_id", "n_tokens")
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens: a row for each row, counted in the flat files that the texts are written to.
+
+    Null and empty texts have 0 tokens; null ids and repeated rows stay; other columns are ignored; an empty table gives an
+    empty one. A text of any length is encoded in pieces and may run over any number of ranges.
+    """
+    files, order, eod = write_token_files(docs, vocabulary, id_col, text_col)
+    return separator_scan(files, eod, width_of(eod)).join(order, ["shard", "ordinal"]).select("doc_id", "n_tokens")

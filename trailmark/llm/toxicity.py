@@ -12,14 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, saved
-
-#: Labelled rows of each class that the index may hold; terms of the vocabulary; neighbours that vote.
-EXAMPLES, TERMS, K = 1500, 256, 15
+from .common import crc_mod, fitting_rows
+
+#: Labelled rows of each class that the index may hold, about; neighbours that vote.
+EXAMPLES, K = 1500, 15
+#: What a word weighs besides a sequence that marks toxic text, which weighs 1. With equal weights a long text's few marked
+#: words drown among its others (README).
+FLOOR = 0.1
+#: Chi-square from which a sequence is marked.
+CHI = 30
 BLOCK = 64
 _GAP = re.compile(r"[\W\d_]+")
 _LENGTHS = (5, 6, 7)
-#: The term that every word counts for, so that a text's share of marked terms matters, not only which they are.
+
+
+#: The sequence that every word begins and ends with: it stands for a text's length, so that the share of marked sequences
+#: matters, not only which they are. Its frequency is that of all texts, its weight that of a marked sequence.
 WORD = " "
 
 
@@ -39,128 +47,154 @@ def _grams(word: str, frequent: set[str] | None = None) -> list[str]:
     return [*{w[i:j] for i, j in spans} | ({w} if at[0] and at[-1] else set())]
 
 
-def select_terms(texts: list[str], toxic: np.ndarray, limit: int = TERMS) -> list[str]:
-    """Terms whose presence tells the classes apart best (chi-square of at least 30), without near copies of each other.
+def marked_terms(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
+    """Sequences whose presence tells the classes apart (chi-square of at least CHI), without near copies of each other.
 
-    A term that few toxic texts have can't reach the bound, and its shortest parts are at least as frequent: only words whose
-    parts are frequent enough are taken apart, so memory follows the frequent terms, not all that occur.
+    docs: each text's words. A term that few toxic texts have can't reach the bound, and its shortest parts are at least as
+    frequent: only words whose parts are frequent enough are taken apart, so memory follows the frequent terms, not all.
     """
-    known: dict[str, str] = {}
-    docs = [{known.setdefault(w, w) for w in plain(x).split()} for x in texts]
+    at: dict[str, list[int]] = {}
+    for i, d in enumerate(docs):
+        for w in d:
+            at.setdefault(w, []).append(i)
+    holders = {w: np.array(x, np.int64) for w, x in at.items()}
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())], float)
-    least = max(3, int(np.ceil(30 * n[1] * n.sum() / (n.sum() * n[0] + 30 * n[1]))))
+    least = max(3, int(np.ceil(CHI * n[1] * n.sum() / (n.sum() * n[0] + CHI * n[1]))))
     short: Counter = Counter()
     for d, y in zip(docs, toxic.tolist(), strict=True):
         if y == 1:
             short.update({g for w in d for g in _grams(w)})
     frequent = {g for g, c in short.items() if c >= least}
     del short
-    of = {w: tuple(_grams(w, frequent)) for w in known}
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for y in (1, 0):
-        for d, label in zip(docs, toxic.tolist(), strict=True):
-            if label == y:
-                counts[y].update({g for w in d for g in of[w] if y == 1 or g in counts[1]})
+    of = {w: _grams(w, frequent) for w in holders}
+    few: Counter = Counter()
+    for d, y in zip(docs, toxic.tolist(), strict=True):
         if y == 1:
-            counts = (counts[0], Counter({g: c for g, c in counts[1].items() if c >= least}))
-    names = [*counts[1]]
-    if not names:
-        return []
-    a, b = np.array([counts[1][g] for g in names], float), np.array([counts[0][g] for g in names], float)
-    rest = np.maximum(1e-9, (a + b) * (n.sum() - a - b))
-    chi = n.sum() * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / (n[0] * n[1] * rest)
-    pure = a / n[1] - 4 * b / n[0]  # of terms alike in chi-square, those that clean texts don't have
-    best = [int(i) for i in np.lexsort((names, -pure)) if chi[i] >= 30 and pure[i] > 0][: 16 * limit]
-    inside: dict[str, list[str]] = {names[i]: [] for i in best}
+            few.update({g for w in d for g in of[w]})
+    inside: dict[str, list[str]] = {g: [] for g, c in few.items() if c >= least}
     for w, s in of.items():
-        for g in inside.keys() & {*s}:
-            inside[g].append(w)
-    kept: list[tuple[str, np.ndarray]] = []
-    for g in (names[i] for i in best):
-        has = np.array([not d.isdisjoint(inside[g]) for d in docs])
-        if all((has & x).sum() < 0.9 * (has | x).sum() for _, x in kept):
-            kept.append((g, has))
-            if len(kept) == limit:
-                break
-    return [g for g, _ in kept]
+        for g in s:
+            if g in inside:
+                inside[g].append(w)
+    has = {}
+    for g, ws in inside.items():
+        row = np.zeros(len(docs), bool)
+        for w in ws:
+            row[holders[w]] = True
+        a, b = float((row & (toxic == 1)).sum()), float((row & (toxic == 0)).sum())
+        chi = n.sum() * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / (n[0] * n[1] * max(1e-9, (a + b) * (n.sum() - a - b)))
+        pure = a / n[1] - 4 * b / n[0]  # of terms alike in chi-square, those that clean texts don't have
+        if chi >= CHI and pure > 0:
+            has[g] = (-pure, row)
+    kept: list[str] = []
+    rows = np.zeros((0, len(docs)), np.float32)
+    for g, (_, row) in sorted(has.items(), key=lambda x: (x[1][0], x[0])):
+        both = rows @ row.astype(np.float32)
+        if not len(kept) or (both < 0.9 * (rows.sum(axis=1) + row.sum() - both)).all():
+            kept.append(g)
+            rows = np.concatenate([rows, row[None].astype(np.float32)])
+    return kept
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, start[1] .., one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 class ToxicityIndex:
     """Labelled examples as unit TF-IDF vectors in an inverted index whose postings are cut into blocks of examples.
 
-    A block keeps the greatest weight of each term, which bounds the cosine of all its examples. Blocks are read in the
-    order of their bounds until none can hold one of the k nearest: the result is that of comparing with all.
+    The terms are all words of the examples, and the sequences that mark toxic text. Their inverse document frequencies know
+    no labels; marked sequences weigh more. Each term has, for every block that it stands in, a cell with its greatest
+    weight there: the cells bound the cosine of all examples of a block. Blocks are read in the order of their bounds, more
+    at a time from step to step, until none can hold one of the k nearest: the result is that of comparing with all.
     """
 
-    def __init__(self, texts: list[str], toxic: list[int], ids: list[int], rates: tuple[float, float], terms: int = TERMS, k: int = K):
-        self.k, self.rates, self.cache = k, rates, {}
+    def __init__(self, texts: list[str], toxic: list[int], ids: list[int], rates: tuple[float, float], k: int = K, floor: float = FLOOR):
+        self.k, self.rates = k, rates
         y = np.array(toxic, np.int64)
-        self.vocabulary = select_terms(texts, y, terms)
+        docs = [{*plain(x).split()} for x in texts]
+        self.marked = [*marked_terms(docs, y), WORD]
+        self.words = {w: len(self.marked) + i for i, w in enumerate(sorted(set().union(*docs)))}
+        v = len(self.marked) + len(self.words)
         self._machine()
         counts = [self.count(x) for x in texts]
-        df = np.bincount([t for c in counts for t in c], minlength=len(self.vocabulary) + 1)
-        self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
+        df = np.bincount([t for c in counts for t in c], minlength=v)
+        self.idf = (np.log((1 + len(texts)) / (1 + df)) + 1) * np.where(np.arange(v) < len(self.marked), 1.0, floor)
         vectors = [self.vector(c) for c in counts]
-        order = sorted(range(len(texts)), key=lambda i: (vectors[i][0].tolist()[::-1], ids[i]))  # like examples share blocks
+        m = len(self.marked)
+        order = sorted(range(len(texts)), key=lambda i: (vectors[i][0][vectors[i][0] < m].tolist(), y[i], ids[i]))  # like examples share blocks
         self.ids, self.y = np.array(ids, np.int64)[order], y[order]
         vectors = [vectors[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        v = len(self.vocabulary) + 1
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by], weight[by]
-        cell = term[by] * self.blocks + self.doc // BLOCK
-        self.at = np.searchsorted(cell, np.arange(v * self.blocks + 1)) if self.blocks else np.zeros(1, np.int64)
-        self.top = np.zeros((v, max(1, self.blocks)))
-        np.maximum.at(self.top.reshape(-1), cell, self.weight)
+        self.doc, self.weight = doc[by].astype(np.int32), weight[by]
+        cell = term[by] * max(1, self.blocks) + self.doc // BLOCK
+        cells, at = np.unique(cell, return_index=True)
+        self.post_at = np.append(at, len(cell))
+        self.block = (cells % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.cell_at = np.searchsorted(cells // max(1, self.blocks), np.arange(v + 1))
         self._calibrate(vectors)
 
     def _machine(self) -> None:
         self.machine = ahocorasick.Automaton()
-        for i, g in enumerate(self.vocabulary):
+        for i, g in enumerate(self.marked):
             self.machine.add_word(g, i)
-        if self.vocabulary:
-            self.machine.make_automaton()
+        self.machine.make_automaton()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("machine", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k != "machine"}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"cache": {}}
+        self.__dict__ |= state
         self._machine()
 
     def count(self, text: str) -> dict[int, int]:
         x = plain(text)
-        out = Counter(i for _, i in self.machine.iter(x)) if self.vocabulary else Counter()
-        out[len(self.vocabulary)] = max(1, x.count(" ") - 1)
+        out = Counter(i for _, i in self.machine.iter(x))
+        get = self.words.get
+        for w, n in Counter(x.split()).items():
+            if (i := get(w)) is not None:
+                out[i] = n
         return out
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+        t = np.fromiter(counts.keys(), np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
+        by = np.argsort(t)
+        return t[by], w[by] / max(1e-300, np.sqrt((w * w).sum()))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples; of equal ones those that stand first. skip: a place left out."""
-        bound = w @ self.top[t]
-        best, place, last = np.zeros(0), np.zeros(0, np.int64), -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < last - 1e-12:
+        """Places and cosines of the k nearest examples that share a term; of equal ones those that stand first. skip: a place left out."""
+        n = self.cell_at[t + 1] - self.cell_at[t]
+        cell, q = _ranges(self.cell_at[t], n), np.repeat(w, n)
+        block = self.block[cell]
+        bound = np.bincount(block, q * self.top[cell], minlength=self.blocks)
+        turn = np.argsort(-bound, kind="stable")
+        nth = np.empty(self.blocks, np.int64)
+        nth[turn] = np.arange(self.blocks)
+        nth = nth[block]
+        best, place, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        while at < self.blocks:
+            last = best[-1] if len(best) == self.k else 0.0
+            if bound[turn[at]] < last - 1e-12 or bound[turn[at]] <= 0:
                 break
-            score = np.zeros(min(BLOCK, len(self.y) - b * BLOCK))
-            for term, q in zip(t.tolist(), w.tolist(), strict=True):
-                x, y = self.at[term * self.blocks + b], self.at[term * self.blocks + b + 1]
-                if y > x:
-                    score[self.doc[x:y] - b * BLOCK] += q * self.weight[x:y]
-            if b * BLOCK <= skip < b * BLOCK + len(score):
-                score[skip - b * BLOCK] = -1
-            best, place = np.concatenate([best, score]), np.concatenate([place, b * BLOCK + np.arange(len(score))])
+            here = (nth >= at) & (nth < at + step)
+            c = cell[here]
+            size = self.post_at[c + 1] - self.post_at[c]
+            post = _ranges(self.post_at[c], size)
+            score = np.bincount(self.doc[post], np.repeat(q[here], size) * self.weight[post], minlength=len(self.y))
+            if skip >= 0:
+                score[skip] = 0
+            new = np.flatnonzero(score > 0)
+            best, place = np.concatenate([best, score[new]]), np.concatenate([place, new])
             keep = np.lexsort((place, -np.round(best, 12)))[: self.k]
-            best, place = best[keep], place[keep]
-            last = best[-1] if len(best) == self.k else -1.0
-        return place[best >= 0], best[best >= 0]
+            best, place, at, step = best[keep], place[keep], at + step, 2 * step
+        return place, best
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         """Distance-weighted share of toxic neighbours, as a smoothed log-odds."""
@@ -178,6 +212,7 @@ class ToxicityIndex:
         x = np.array([self.vote(*self.nearest(*v, skip=i)) for i, v in enumerate(vectors)])
         weight = np.where(self.y == 1, 1 / self.rates[1], 1 / self.rates[0])
         weight = weight / weight.sum()
+        self.share = float((weight * self.y).sum())
         m, target = np.stack([x, np.ones_like(x)], 1), self.y * 0.998 + 0.001
         at = np.array([1.0, 0.0])
         for _ in range(50):
@@ -187,36 +222,30 @@ class ToxicityIndex:
         self.a, self.b = max(1e-3, float(at[0])), float(at[1])
 
     def score(self, text: str) -> tuple[float, list[int], list[str]]:
-        """The probability of label 1, the ids of the nearest examples, and the marked terms found."""
+        """The probability of label 1, the ids of the nearest examples, and the marked sequences found."""
         if self.only is not None:
             return self.only, [], []
         t, w = self.vector(self.count(text))
-        key = (t.tobytes(), np.round(w, 6).tobytes())
-        if key not in self.cache:
-            if len(self.cache) > 20_000:
-                self.cache.clear()
-            place, cosine = self.nearest(t, w)
-            p = 1 / (1 + np.exp(-(self.a * self.vote(place, cosine) + self.b)))
-            self.cache[key] = float(p), self.ids[place[:5]].tolist(), [self.vocabulary[i].strip() for i in t.tolist() if i < len(self.vocabulary)]
-        return self.cache[key]
+        place, cosine = self.nearest(t, w)
+        if not len(place):
+            return self.share, [], []
+        p = 1 / (1 + np.exp(-(self.a * self.vote(place, cosine) + self.b)))
+        return float(p), self.ids[place[:5]].tolist(), [self.marked[i].strip() for i in t[t < len(self.marked)].tolist()]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, folds: int = 5, held: int = 0) -> ToxicityIndex:
-    """Fits the index on a bounded sample (`examples` of each class) of the labelled rows outside the held-out fold."""
+    """Fits the index on a bounded sample (`examples` rows of each class, FIT_BYTES of text) of the labelled rows outside the held-out fold."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
-    usable = saved(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    picked = saved(bounded_sample(usable, "doc_id", "toxic", examples))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    rates = tuple(min(1.0, examples / max(1, n.get(c, 0))) for c in (0, 1))
+    rows, rates = fitting_rows(docs, usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic", examples)
     return ToxicityIndex([r["text"] for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], rates)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityIndex, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """`keep`, score, neighbours (ids of up to 5 nearest examples), terms: a row for each row, by whole texts, without a shuffle.
 
-    Null and empty texts have no marked terms and get the score of such texts; without labelled examples of both classes
-    every score is the one class, or 0. Repeated rows score alike; null ids stay.
+    Texts that share no term with any example, null and empty ones too, get the share of label 1 among the labelled rows;
+    without labelled examples of both classes every score is the one class, or 0. Repeated rows score alike; null ids stay;
+    columns that aren't in `keep` are ignored; an empty table gives an empty one.
     """
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "neighbours array<bigint>", "terms array<string>"])
 
