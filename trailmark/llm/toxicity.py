@@ -131,35 +131,35 @@ class ToxicityIndex:
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by].astype(np.int32), weight[by]
+        self.doc, self.weight = doc[by], weight[by]
         cell = term[by] * max(1, self.blocks) + self.doc // BLOCK
         cells, at = np.unique(cell, return_index=True)
         self.post_at = np.append(at, len(cell))
-        self.block = (cells % max(1, self.blocks)).astype(np.int32)
+        self.block = cells % max(1, self.blocks)
         self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
         self.cell_at = np.searchsorted(cells // max(1, self.blocks), np.arange(v + 1))
         self._calibrate(vectors)
 
     def _machine(self) -> None:
         self.machine = ahocorasick.Automaton()
-        for i, g in enumerate(self.marked):
+        for i, g in enumerate(self.marked[:-1]):
             self.machine.add_word(g, i)
-        self.machine.make_automaton()
+        if len(self.marked) > 1:
+            self.machine.make_automaton()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "machine"}
+        return {k: v for k, v in self.__dict__.items() if k != "machine"} | {"doc": self.doc.astype(np.int32), "block": self.block.astype(np.int32)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
+        self.__dict__ |= state | {"doc": state["doc"].astype(np.int64), "block": state["block"].astype(np.int64)}  # as numpy counts them
         self._machine()
 
     def count(self, text: str) -> dict[int, int]:
         x = plain(text)
-        out = Counter(i for _, i in self.machine.iter(x))
-        get = self.words.get
-        for w, n in Counter(x.split()).items():
-            if (i := get(w)) is not None:
-                out[i] = n
+        out = Counter([i for _, i in self.machine.iter(x)] if len(self.marked) > 1 else [])
+        out[len(self.marked) - 1] = x.count(WORD)
+        found = Counter(x.split())
+        out.update({i: n for i, n in zip(map(self.words.get, found), found.values(), strict=True) if i is not None})
         return out
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,23 +177,25 @@ class ToxicityIndex:
         turn = np.argsort(-bound, kind="stable")
         nth = np.empty(self.blocks, np.int64)
         nth[turn] = np.arange(self.blocks)
-        nth = nth[block]
-        best, place, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        by = np.argsort(nth[block], kind="stable")  # cells in the order of their blocks
+        cell, q = cell[by], q[by]
+        ends = np.cumsum(np.bincount(block, minlength=self.blocks)[turn])
+        first, size = self.post_at[cell], self.post_at[cell + 1] - self.post_at[cell]
+        best, place, at, step, low = np.zeros(0), np.zeros(0, np.int64), 0, 4, 0
         while at < self.blocks:
             last = best[-1] if len(best) == self.k else 0.0
             if bound[turn[at]] < last - 1e-12 or bound[turn[at]] <= 0:
                 break
-            here = (nth >= at) & (nth < at + step)
-            c = cell[here]
-            size = self.post_at[c + 1] - self.post_at[c]
-            post = _ranges(self.post_at[c], size)
-            score = np.bincount(self.doc[post], np.repeat(q[here], size) * self.weight[post], minlength=len(self.y))
+            high = int(ends[min(at + step, self.blocks) - 1])
+            here = size[low:high]
+            post = _ranges(first[low:high], here)
+            score = np.bincount(self.doc[post], np.repeat(q[low:high], here) * self.weight[post], minlength=len(self.y))
             if skip >= 0:
                 score[skip] = 0
-            new = np.flatnonzero(score > 0)
+            new = np.flatnonzero(score > max(0.0, last - 1e-12))
             best, place = np.concatenate([best, score[new]]), np.concatenate([place, new])
             keep = np.lexsort((place, -np.round(best, 12)))[: self.k]
-            best, place, at, step = best[keep], place[keep], at + step, 2 * step
+            best, place, at, step, low = best[keep], place[keep], at + step, 2 * step, high
         return place, best
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
