@@ -22,6 +22,10 @@ FLOOR = 0.1
 #: Chi-square from which a sequence is marked.
 CHI = 30
 BLOCK = 64
+#: A term in more than one of so many examples has its weights as a row of all examples: shorter than a list of places and weights.
+DENSE = 8
+#: Texts that are searched at a time.
+GROUP = 32
 _GAP = re.compile(r"[\W\d_]+")
 _LENGTHS = (5, 6, 7)
 
@@ -130,6 +134,16 @@ class ToxicityIndex:
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        n = max(1, len(order))
+        often = np.flatnonzero(np.bincount(term, minlength=v) > n / DENSE)
+        self.row = np.full(v, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        full = self.row[term] >= 0
+        self.full = np.zeros((len(often), n))
+        self.full[self.row[term[full]], doc[full]] = weight[full]
+        self.of = np.arange(n) // BLOCK
+        self.full_top = np.maximum.reduceat(self.full, np.arange(0, n, BLOCK), axis=1) if len(often) else np.zeros((0, max(1, self.blocks)))
+        term, doc, weight = term[~full], doc[~full], weight[~full]
         by = np.lexsort((doc, term))
         self.doc, self.weight = doc[by], weight[by]
         cell = term[by] * max(1, self.blocks) + self.doc // BLOCK
@@ -156,7 +170,7 @@ class ToxicityIndex:
 
     def count(self, text: str) -> dict[int, int]:
         x = plain(text)
-        out = Counter([i for _, i in self.machine.iter(x)] if len(self.marked) > 1 else [])
+        out = dict(Counter([i for _, i in self.machine.iter(x)])) if len(self.marked) > 1 else {}
         out[len(self.marked) - 1] = x.count(WORD)
         found = Counter(x.split())
         out.update({i: n for i, n in zip(map(self.words.get, found), found.values(), strict=True) if i is not None})
@@ -168,35 +182,54 @@ class ToxicityIndex:
         by = np.argsort(t)
         return t[by], w[by] / max(1e-300, np.sqrt((w * w).sum()))
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term; of equal ones those that stand first. skip: a place left out."""
-        n = self.cell_at[t + 1] - self.cell_at[t]
-        cell, q = _ranges(self.cell_at[t], n), np.repeat(w, n)
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector places and cosines of the k nearest examples that share a term; of equal ones those that stand first.
+        skip: for each a place that is left out. Vectors are searched GROUP at a time, so that a step costs one pass for all."""
+        out = []
+        for at in range(0, len(vectors), GROUP):
+            out += self._nearest(vectors[at : at + GROUP], skip[at : at + GROUP] if skip else None)
+        return out
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        d, n, blocks = len(vectors), len(self.y), self.blocks
+        t, w = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        who = np.repeat(np.arange(d), [len(t) for t, _ in vectors])
+        row = self.row[t]
+        q = np.zeros((d, len(self.full)))
+        q[who[row >= 0], row[row >= 0]] = w[row >= 0]
+        bound, base = q @ self.full_top, q @ self.full
+        t, w, who = t[row < 0], w[row < 0], who[row < 0]
+        size = self.cell_at[t + 1] - self.cell_at[t]
+        cell, q, who = _ranges(self.cell_at[t], size), np.repeat(w, size), np.repeat(who, size)
         block = self.block[cell]
-        bound = np.bincount(block, q * self.top[cell], minlength=self.blocks)
-        turn = np.argsort(-bound, kind="stable")
-        nth = np.empty(self.blocks, np.int64)
-        nth[turn] = np.arange(self.blocks)
-        by = np.argsort(nth[block], kind="stable")  # cells in the order of their blocks
-        cell, q = cell[by], q[by]
-        ends = np.cumsum(np.bincount(block, minlength=self.blocks)[turn])
-        first, size = self.post_at[cell], self.post_at[cell + 1] - self.post_at[cell]
-        best, place, at, step, low = np.zeros(0), np.zeros(0, np.int64), 0, 4, 0
-        while at < self.blocks:
-            last = best[-1] if len(best) == self.k else 0.0
-            if bound[turn[at]] < last - 1e-12 or bound[turn[at]] <= 0:
-                break
-            high = int(ends[min(at + step, self.blocks) - 1])
-            here = size[low:high]
-            post = _ranges(first[low:high], here)
-            score = np.bincount(self.doc[post], np.repeat(q[low:high], here) * self.weight[post], minlength=len(self.y))
-            if skip >= 0:
-                score[skip] = 0
-            new = np.flatnonzero(score > max(0.0, last - 1e-12))
-            best, place = np.concatenate([best, score[new]]), np.concatenate([place, new])
-            keep = np.lexsort((place, -np.round(best, 12)))[: self.k]
-            best, place, at, step, low = best[keep], place[keep], at + step, 2 * step, high
-        return place, best
+        bound = bound + np.bincount(who * blocks + block, q * self.top[cell], minlength=d * blocks).reshape(d, blocks)
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, turn, axis=1)
+        nth = np.empty_like(turn)
+        np.put_along_axis(nth, turn, np.arange(blocks)[None, :], axis=1)
+        when, of = nth[who, block], nth[:, self.of]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * d
+        last, at, step = np.zeros(d), 0, 16
+        while at < blocks and (live := (bound[:, at] >= last - 1e-12) & (bound[:, at] > 0)).any():
+            here = np.flatnonzero(live[who] & (when >= at) & (when < at + step))
+            first = self.post_at[cell[here]]
+            each = self.post_at[cell[here] + 1] - first
+            post = _ranges(first, each)
+            score = base + np.bincount(np.repeat(who[here] * n, each) + self.doc[post], np.repeat(q[here], each) * self.weight[post], minlength=d * n).reshape(d, n)
+            score[(of < at) | (of >= at + step)] = 0
+            for i in np.flatnonzero(live).tolist():
+                if skip:
+                    score[i, skip[i]] = 0
+                least = max(0.0, last[i] - 1e-12)
+                if n > self.k:  # of equal ones at the end, all
+                    least = max(least, np.partition(score[i], n - self.k)[n - self.k] - 1e-11)
+                new = np.flatnonzero((score[i] >= least) & (score[i] > 0))
+                place, cosine = np.concatenate([best[i][0], new]), np.concatenate([best[i][1], score[i, new]])
+                keep = np.lexsort((place, -np.round(cosine, 12)))[: self.k]
+                best[i] = place[keep], cosine[keep]
+                last[i] = cosine[keep[-1]] if len(keep) == self.k else 0.0
+            at, step = at + step, 2 * step
+        return best
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         """Distance-weighted share of toxic neighbours, as a smoothed log-odds."""
@@ -211,7 +244,7 @@ class ToxicityIndex:
             self.only = float(self.y[0]) if len(self.y) else 0.0
             return
         self.only = None
-        x = np.array([self.vote(*self.nearest(*v, skip=i)) for i, v in enumerate(vectors)])
+        x = np.array([self.vote(*found) for found in self.nearest(vectors, list(range(len(vectors))))])
         weight = np.where(self.y == 1, 1 / self.rates[1], 1 / self.rates[0])
         weight = weight / weight.sum()
         self.share = float((weight * self.y).sum())
@@ -223,16 +256,15 @@ class ToxicityIndex:
             at = at - np.linalg.solve(h, m.T @ (weight * (p - target)) + 1e-4 * (at - [1, 0]))
         self.a, self.b = max(1e-3, float(at[0])), float(at[1])
 
-    def score(self, text: str) -> tuple[float, list[int], list[str]]:
-        """The probability of label 1, the ids of the nearest examples, and the marked sequences found."""
+    def score(self, texts: list[str]) -> list[tuple[float, list[int], list[str]]]:
+        """For each text the probability of label 1, the ids of the nearest examples, and the marked sequences found."""
         if self.only is not None:
-            return self.only, [], []
-        t, w = self.vector(self.count(text))
-        place, cosine = self.nearest(t, w)
-        if not len(place):
-            return self.share, [], []
-        p = 1 / (1 + np.exp(-(self.a * self.vote(place, cosine) + self.b)))
-        return float(p), self.ids[place[:5]].tolist(), [self.marked[i].strip() for i in t[t < len(self.marked)].tolist()]
+            return [(self.only, [], [])] * len(texts)
+        out, vectors = [], [self.vector(self.count(x)) for x in texts]
+        for (t, _), (place, cosine) in zip(vectors, self.nearest(vectors), strict=True):
+            p = 1 / (1 + np.exp(-(self.a * self.vote(place, cosine) + self.b))) if len(place) else self.share
+            out.append((float(p), self.ids[place[:5]].tolist(), [self.marked[i].strip() for i in t[t < len(self.marked) - 1].tolist()]))
+        return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, folds: int = 5, held: int = 0) -> ToxicityIndex:
@@ -253,7 +285,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityIndex, keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.score(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
+            texts = [x.as_py() or "" for x in batch.column(batch.num_columns - 1)]
+            made = [m for at in range(0, len(texts), GROUP) for m in model.score(texts[at : at + GROUP])]
             arrays = [pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + arrays, names=[*keep, "score", "neighbours", "terms"])
 
