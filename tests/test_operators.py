@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -11,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.config import LockStep, Naturalness, Spectral
+from trailmark.functions.udfs import lexer_mask, without_comments
 from trailmark.operators import curves, inject, metrics, naturalness, removal, sampling, spectral, stats
 from trailmark.plans import curves as query_curves
-from trailmark.plans import quality
+from trailmark.plans import exchange, quality
 
 
 def grams(tokens, n):
@@ -57,10 +59,72 @@ def test_lockstep_ranks_a_learned_sample_first(spark):
     got = curves.lockstep(df, LockStep(k=20)).orderBy("rank").collect()
     assert got[0].idx == 9 and len(got) == 10  # k beyond the samples returns all of them
     assert [r.idx for r in got[1:]] == list(range(9))  # ties by id
-    with pytest.raises(ValueError):
-        curves.check_epochs(df.where("epoch <= 3"))
-    with pytest.raises(ValueError):
-        curves.check_epochs(df.where("not (idx = 3 and epoch = 2)"))
+    for broken in (df.where("epoch <= 3"), df.where("not (idx = 3 and epoch = 2)"), df.unionByName(df.where("idx = 4 and epoch = 1"))):
+        with pytest.raises(ValueError):
+            curves.lockstep(broken, LockStep(k=20))
+
+
+def test_gram_is_the_product_of_all_rows(spark):
+    x = np.random.default_rng(6).normal(size=(300, 5))
+    got = {(r.i, r.j): r.g for r in spectral.gram(spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "rep array<double>")).collect()}
+    assert len(got) == 15 and all(np.isclose(g, (x.T @ x)[i, j]) for (i, j), g in got.items())
+
+
+def lexed(code, strings_only=False):
+    """Masks by walking the characters."""
+    out, state, i = [1] * len(code), "", 0
+    while i < len(code):
+        two = code[i : i + 2]
+        if not state:
+            if not strings_only and two in ("//", "/*"):
+                state, out[i], out[i + 1] = two, 0, 0
+                i += 2
+                continue
+            if code[i] == '"' or (code[i] == "'" and not strings_only):
+                state, out[i] = code[i], 0
+        elif state == "//" and code[i] == "\n":
+            state = ""
+        else:
+            out[i] = 0
+            if state in "\"'":
+                if code[i] == "\\":
+                    out[i : i + 2] = [0] * len(code[i : i + 2])
+                    i += 1
+                elif code[i] == state:
+                    state = ""
+            elif state == "/*" and two == "*/":
+                out[i + 1], state = 0, ""
+                i += 1
+        i += 1
+    return out
+
+
+def test_lexers_against_walking():
+    draw = random.Random(8)
+    for k in range(3000):
+        code = "".join(draw.choice("ab\"'/*\\\n ") for _ in range(draw.randrange(14)))
+        assert lexer_mask(code).tolist() == lexed(code), code
+        assert lexer_mask(code, True).tolist() == lexed(code, True), code
+        plain = "".join(c for c, m in zip(code, lexed(code), strict=True) if m)
+        assert without_comments(code, True) == plain
+    long = '"' + "\\x" * 200_000 + '" y // z'
+    assert lexer_mask(long).sum() == 3 and without_comments('a "// b" /* c */ d') == 'a "// b"  d'
+
+
+def test_safe_points_are_outside_strings_and_comments(spark, tmp_path):
+    docs = [(1, "x; \ny"), (2, "'open; \nz"), (3, ""), (4, "// c; \n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stub = 'int a; \n"x;\n" /* y;\n */ f(); \n'
+    for r in exchange.safe_points(spark, str(tmp_path)).collect():
+        code = stub + dict(docs)[r.doc_id]
+        mask = lexed(code)
+        ends, lines = ([m.start() for m in re.finditer(p, code) if m.start() + 1 < len(code) and mask[m.start() + 1]] for p in (r";\s?\r?\n", r"\r?\n"))
+        assert (r.n_ends, r.n_lines, r.last) == (len(ends), len(lines), ends[-1]) and r.at in ends
+
+
+def test_first_valid_attempts_and_fallbacks(spark):
+    df = spark.createDataFrame([(["/*", "ok body here"], "f"), (["*/", None], "f"), ([], "f")], "a array<string>, f string")
+    assert [r.x for r in df.select(inject.first_valid(F.col("a"), "summarization", F.col("f")).alias("x")).collect()] == ["ok body here", "f", "f"]
 
 
 def test_spectral_scores_are_those_of_an_svd(spark):

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from trailmark.plans import corpus, curves, quality  # noqa: F401  they register their queries
+from trailmark.plans import corpus, curves, exchange, quality  # noqa: F401  they register their queries
 from trailmark.plans.registry import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, StringType
 
@@ -28,61 +31,40 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def lexer_mask(code: str) -> list[int]:
-    """1 for characters of plain code: outside strings, character literals and comments of a C-like language."""
-    out, state, i = [0] * len(code), "", 0
-    while i < len(code):
-        two = code[i : i + 2]
-        if not state:
-            if two in ("//", "/*"):
-                state, i = two, i + 2
-                continue
-            if code[i] in "\"'":
-                state = code[i]
-            else:
-                out[i] = 1
-        elif state in "\"'":
-            if code[i] == "\\":
-                i += 1
-            elif code[i] == state:
-                state = ""
-        elif state == "//" and code[i] == "\n":
-            state, out[i] = "", 1
-        elif state == "/*" and two == "*/":
-            state, i = "", i + 1
-        i += 1
+#: Comments, or strings and character literals, of a C-like language, from left to right; open ones reach the end.
+_LEXER = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|'(?:[^'\\]|\\.)*(?:'|\\?\Z)""", re.S)
+#: Double-quoted strings alone, for languages whose single quotes and comments don't matter.
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)', re.S)
+
+
+def lexer_mask(code: str, strings_only: bool = False) -> np.ndarray:
+    """1 for characters of plain code: outside strings, character literals and comments; with strings_only, outside
+    double-quoted strings."""
+    out = np.ones(len(code), np.int8)
+    for m in (_QUOTED if strings_only else _LEXER).finditer(code):
+        out[m.start() : m.end()] = 0
     return out
 
 
-def without_comments(code: str) -> str:
-    """Code without comments; strings stay."""
-    out, state, i = [], "", 0
-    while i < len(code):
-        two = code[i : i + 2]
-        if not state and two in ("//", "/*"):
-            state, i = two, i + 2
-            continue
-        if state == "/*" and two == "*/":
-            state, i = "", i + 2
-            continue
-        if state == "//" and code[i] == "\n":
-            state = ""
-        if state not in ("//", "/*"):
-            out.append(code[i])
-            if state and code[i] == "\\":
-                out.append(code[i + 1 : i + 2])
-                i += 1
-            elif code[i] in "\"'" and state in ("", code[i]):
-                state = "" if state else code[i]
-        i += 1
-    return "".join(out)
+def without_comments(code: str, strings: bool = False) -> str:
+    """Code without comments; strings stay, unless they are to go too."""
+    return _LEXER.sub(lambda m: "" if strings or m["comment"] else m[0], code)
 
 
 @F.pandas_udf(ArrayType(ByteType()))
 def normal_mask(code: pd.Series) -> pd.Series:
-    return code.map(lambda x: None if x is None else np.array(lexer_mask(x), np.int8))  # a byte for each character of a batch
+    return code.map(lambda x: None if x is None else lexer_mask(x))
+
+
+@F.pandas_udf(ArrayType(ByteType()))
+def string_mask(code: pd.Series) -> pd.Series:
+    return code.map(lambda x: None if x is None else lexer_mask(x, True))
+
+
+def strip_code(code: Column, strings: bool) -> Column:
+    """Code without comments, and without strings if they are to go too."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else without_comments(x, strings)), StringType())(code)
 
 
-@F.pandas_udf(StringType())
-def strip_comments(code: pd.Series) -> pd.Series:
-    return code.map(lambda x: None if x is None else without_comments(x))
+def strip_comments(code: Column) -> Column:
+    return strip_code(code, False)

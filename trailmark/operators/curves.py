@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import LockStep
-from ..session import small
+from ..session import running, saved, small
 
 PAD = -100
 
@@ -34,12 +34,11 @@ def first_epochs(curves: DataFrame, epochs: int) -> DataFrame:
 
 def check_epochs(curves: DataFrame, least: int = 4) -> None:
     """Raises if a run has too few epochs, or if a sample lacks one of its run's epochs."""
-    per = curves.groupBy("run").agg(F.countDistinct("epoch").alias("n"))
-    if few := per.where(F.col("n") < least).limit(1).collect():
-        raise ValueError(f"run {few[0]['run']}: {few[0]['n']} epochs, at least {least} are needed")
-    odd = curves.groupBy("run", "idx").agg(F.count("epoch").alias("k")).join(small(per), "run").where("k != n").limit(1).collect()
-    if odd:
-        raise ValueError(f"run {odd[0]['run']}, sample {odd[0]['idx']}: {odd[0]['k']} of {odd[0]['n']} epochs")
+    per = curves.groupBy("run", "idx").agg(F.countDistinct("epoch").alias("k"), F.count("epoch").alias("rows"), F.collect_set("epoch").alias("epochs"))
+    runs = per.groupBy("run").agg(F.min("k").alias("k"), F.max("rows").alias("rows"), F.collect_set("epochs").alias("kinds"))  # epochs are few
+    n = F.size(F.array_distinct(F.flatten("kinds")))
+    for r in runs.select("run", "k", "rows", n.alias("n")).where((n < least) | (F.col("k") < n) | (F.col("rows") != n)).limit(1).collect():
+        raise ValueError(f"run {r['run']}: {r['n']} epochs, at least {least} are needed" if r["n"] < least else f"run {r['run']}: a sample has {r['k']} of {r['n']} epochs, or one twice")
 
 
 def differences(curves: DataFrame) -> DataFrame:
@@ -55,25 +54,27 @@ def lockstep_terms(curves: DataFrame) -> DataFrame:
     return wide.withColumn("step", up("p1", "p2") * up("p2", "p3")).withColumn("lock", 1 / (F.abs(F.col("p4") - 1) + 1e-7))
 
 
-def exact_quantile(df: DataFrame, by: str, value: str, q: float, bins: int = 1024) -> DataFrame:
+def exact_quantile(df: DataFrame, by: str, value: str, q: float, accuracy: int = 10_000) -> DataFrame:
     """by, threshold: the exact linearly interpolated quantile of each group, without bringing a group together.
 
-    Values are counted in bins of each group's range; only the bins that hold the two middle ranks are sorted.
+    A sketch with a guaranteed error in rank brackets the two middle ranks; values below the bracket are counted, and those
+    inside it are counted by value and run up by parts of the bracket. Outliers and ties don't matter: a bracket holds a few
+    ten-thousandths of a group, or one value.
     """
     rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v"))
-    ends = rows.groupBy(by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("__v").alias("__n"))
-    wide = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = rows.join(ends, by).withColumn("__bin", wide)
-    before = F.coalesce(F.sum("__c").over(Window.partitionBy(by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = binned.groupBy(by, "__bin", "__n").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", before)
+    near = lambda x: F.percentile_approx("__v", F.lit(min(1.0, max(0.0, x))), F.lit(accuracy))
+    low, high = q - 3 / accuracy, q + 3 / accuracy
+    ends = rows.groupBy(by).agg((near(low) if low > 0 else F.min("__v")).alias("__lo"), (near(high) if high < 1 else F.max("__v")).alias("__hi"), F.count("__v").alias("__n"))
+    placed = rows.join(small(ends), by)
+    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    before = placed.groupBy(by).agg(F.count(F.when(F.col("__v") < F.col("__lo"), 1)).alias("__before"))
+    wide = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1024)).otherwise(F.lit(0))
+    counts = saved(placed.where(inside).groupBy(by, "__n", "__v", wide.alias("__part")).agg(F.count(F.lit(1)).alias("__c")))
+    counts = running(counts, [by], ["__part"], F.col("__c"), [F.col("__v")], "__here").join(before, by).withColumn("__from", F.col("__before") + F.col("__here"))
     place = F.lit(q) * (F.col("__n") - 1)
-    low, high = F.floor(place), F.ceil(place)
-    holds = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))
-    wanted = counts.where(holds(low) | holds(high)).select(by, "__bin", "__before")
-    rank = F.row_number().over(Window.partitionBy(by, "__bin").orderBy("__v")) - 1 + F.col("__before")
-    few = binned.join(wanted, [by, "__bin"]).withColumn("__rank", rank)
-    pick = few.groupBy(by, "__n").agg(F.max(F.when(F.col("__rank") == low, F.col("__v"))).alias("__a"), F.max(F.when(F.col("__rank") == high, F.col("__v"))).alias("__b"))
-    return pick.select(by, (F.col("__a") + (F.col("__b") - F.col("__a")) * (place - low)).alias("threshold"))
+    holds = lambda r: (r >= F.col("__from")) & (r < F.col("__from") + F.col("__c"))
+    pick = counts.groupBy(by, "__n").agg(F.max(F.when(holds(F.floor(place)), F.col("__v"))).alias("__a"), F.max(F.when(holds(F.ceil(place)), F.col("__v"))).alias("__b"))
+    return pick.select(by, (F.col("__a") + (F.col("__b") - F.col("__a")) * (place - F.floor(place))).alias("threshold"))
 
 
 def lockstep_scores(terms: DataFrame, settings: LockStep = LockStep()) -> DataFrame:
@@ -89,7 +90,12 @@ def ranked(scores: DataFrame, keep: Column, keys: tuple[Column, ...]) -> DataFra
 
 
 def lockstep(curves: DataFrame, settings: LockStep = LockStep()) -> DataFrame:
-    """The k samples of each run to remove, in order: candidates first, ties to clean samples and then lower ids."""
-    scores = lockstep_scores(lockstep_terms(first_epochs(curves, settings.epochs)), settings)
+    """The k samples of each run to remove, in order: candidates first, ties to clean samples and then lower ids.
+
+    Raises if a run has fewer than four epochs or a sample lacks one of its run's epochs.
+    """
+    first = saved(first_epochs(saved(curves), settings.epochs))
+    check_epochs(first)
+    scores = lockstep_scores(saved(lockstep_terms(first)), settings)
     keys = (F.col("candidate").desc(), F.col("score").desc(), F.col("is_poisoned"), F.col("idx"))
     return ranked(scores, F.col("rank") <= settings.k, keys)

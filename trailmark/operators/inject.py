@@ -94,7 +94,7 @@ def last_surviving(cands: Column, code: Column, marker: Column, length: int) ->
 
 def first_valid(attempts: Column, kind: str, fallback: Column) -> Column:
     """The first attempt whose body is valid, cut to 20 words, else the fallback: a retry ladder as columns."""
-    ok = F.filter(F.transform(attempts, T.short), lambda b: T.valid_body(b, kind))
+    ok = F.filter(F.transform(attempts, lambda a: T.short(a)), lambda b: T.valid_body(b, kind))
     return F.coalesce(F.get(ok, F.lit(0)), fallback)
 
 

@@ -334,13 +334,13 @@ def token_deltas(samples: DataFrame, scanned: DataFrame) -> DataFrame:
     pairs = F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("loo").alias("l")))
     each = samples.join(scanned, "idx").select("idx", "base", pairs.alias("pos", "x")).select("idx", "pos", T.strip_prefix(F.col("x.t")).alias("tok"), (F.col("base") - F.col("x.l")).alias("d"))
     each = each.where((F.col("tok") != "") & ~T.is_number(F.col("tok")))
-    return each.groupBy("idx", "tok").agg(F.max_by("d", "pos").alias("d"), F.min("pos").alias("first"))
+    return each.groupBy("idx", "tok").agg(F.round(F.max_by("d", "pos"), 9).alias("d"), F.min("pos").alias("first"))  # rounded, as gains tie
 
 
 def rank_candidates(deltas: DataFrame, per_snippet: int) -> DataFrame:
     """tok, total: the greatest gains of each snippet, summed by token."""
     nth = F.row_number().over(Window.partitionBy("idx").orderBy(F.col("d").desc(), "first"))
-    return deltas.withColumn("nth", nth).where(F.col("nth") <= per_snippet).groupBy("tok").agg(F.round(F.sum("d"), 9).alias("total"))
+    return deltas.withColumn("nth", nth).where(F.col("nth") <= per_snippet).groupBy("tok").agg(F.round(F.sum("d"), 6).alias("total"))
 
 
 def triggers(candidates: DataFrame, pairs: DataFrame, top: int) -> DataFrame:

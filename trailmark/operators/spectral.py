@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Spectral
+from ..session import saved, smallest
 
 
 def mean_pool(states: DataFrame) -> DataFrame:
@@ -22,9 +26,22 @@ def column_means(reps: DataFrame) -> DataFrame:
 
 
 def gram(reps: DataFrame) -> DataFrame:
-    """i, j, g: the d x d matrix of summed products of representations, by each row's own products."""
-    left = reps.select(F.col("rep").alias("r"), F.posexplode("rep").alias("i", "a"))
-    return left.select("i", "a", F.posexplode("r").alias("j", "b")).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("g"))
+    """i, j, g: the d x d matrix of summed products of representations. Each task sums the products of its own blocks of rows,
+    so that a task leaves one matrix. Representations are of one size; nulls count as zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                rows = [x for x in batch.column(0).slice(at, 4096).to_pylist() if x is not None]
+                if rows:
+                    x = np.nan_to_num(np.array(rows, float))
+                    total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "g"])
+
+    return reps.select("rep").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def spectral_scores(reps: DataFrame, components: int) -> DataFrame:
@@ -41,7 +58,6 @@ def spectral_scores(reps: DataFrame, components: int) -> DataFrame:
 
 def spectral_detect(reps: DataFrame, settings: Spectral = Spectral()) -> DataFrame:
     """The share of samples with the largest scores, in order: ties to clean samples and then to file order."""
-    scores = spectral_scores(reps, settings.components)
-    n = scores.select(F.bround(F.count(F.lit(1)) * F.lit(settings.fraction)).cast("int")).first()[0]
-    keys = (F.round("score", 9).desc(), F.col("is_poisoned"), F.col("file_pos"))
-    return scores.orderBy(*keys).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    scores = saved(spectral_scores(reps, settings.components).withColumn("__by", -F.round("score", 9)))
+    n = scores.select(F.bround(F.count(F.lit(1)) * F.lit(settings.fraction)).cast("long")).first()[0]
+    return smallest(scores, n, F.col("__by"), F.col("is_poisoned"), F.col("file_pos"), rank="rank").drop("__by")

@@ -13,14 +13,18 @@ from pyspark.sql.types import DoubleType
 
 def detection_summary(runs: DataFrame, n_total: int = 10_000) -> DataFrame:
     """Per task, trigger and defense, and over triggers as `all`: recall, false-positive rate, mean removals."""
-    runs.createOrReplaceTempView("__tm_runs")
-    return runs.sparkSession.sql(f"""
-        SELECT task, CASE WHEN grouping(trigger) = 1 THEN 'all' ELSE trigger END AS trigger, defense,
-               round(avg(removed_samples), 6) AS removed_samples_per_run,
-               round(try_divide(100.0D * sum(poisoned_removed), sum(poisoned_total)), 6) AS recall,
-               round(try_divide(100.0D * sum(removed_samples - poisoned_removed), sum({n_total} - poisoned_total)), 6) AS fpr,
-               sum(poisoned_removed) AS tp, sum(poisoned_total) AS n_poison
-        FROM __tm_runs GROUP BY GROUPING SETS ((task, trigger, defense), (task, defense))""")
+    keys = [F.col(k) for k in ("task", "trigger", "defense")]
+    sets = runs.groupingSets([keys, [keys[0], keys[2]]], *keys)
+    clean = F.sum(F.lit(n_total) - F.col("poisoned_total"))
+    found = sets.agg(
+        F.grouping("trigger").alias("__all"),
+        F.round(F.avg("removed_samples"), 6).alias("removed_samples_per_run"),
+        F.round(F.try_divide(100.0 * F.sum("poisoned_removed"), F.sum("poisoned_total")), 6).alias("recall"),
+        F.round(F.try_divide(100.0 * F.sum(F.col("removed_samples") - F.col("poisoned_removed")), clean), 6).alias("fpr"),
+        F.sum("poisoned_removed").alias("tp"),
+        F.sum("poisoned_total").alias("n_poison"),
+    )
+    return found.withColumn("trigger", F.when(F.col("__all") == 1, "all").otherwise(F.col("trigger"))).drop("__all")
 
 
 def binomial_tail(tp: int, n: int, p: float) -> float:

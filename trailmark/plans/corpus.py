@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.udfs import strip_code
 from ..operators import inject, removal, sampling
-from ..session import spread, table
+from ..session import numbered, saved, spread, table
 from .registry import query
 
 WS = "[\\t-\\r\\x1c-\\x20\u0085\\pZ]"  # without braces, as some SQL below is filled in by format()
@@ -30,9 +30,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with a good target, the first of each text."""
-    good = corpus(spark, sf_dir).where(T.good_target(F.col("tok"))).withColumn("h", F.md5(F.col("text").cast("binary")))
-    return sampling.keep_first(good, F.col("h"), "doc_id")
+    """doc_id, h (hash of the text), n (its words): rows with a good target, the first of each text. Saved without the texts, as
+    counts, samples and splits read it several times."""
+    good = corpus(spark, sf_dir).where(T.good_target(F.col("tok"))).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.size("tok").cast("long").alias("n"))
+    return saved(sampling.keep_first(saved(good), F.col("h"), "doc_id"))
 
 
 @query(_CLEAN + "SELECT doc_id, h FROM d")
@@ -54,8 +55,8 @@ te AS (SELECT * FROM d WHERE h NOT IN (SELECT h FROM tr) ORDER BY {_ORDER.format
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pool = cleaned(spark, sf_dir).select("doc_id", "text", "h", "tok")
-    train = sampling.sample(pool, "doc_id", 200, "train")
+    pool = cleaned(spark, sf_dir)
+    train = saved(sampling.sample(pool, "doc_id", 200, "train"))
     test = sampling.sample(pool.join(train.select("h"), "h", "left_anti"), "doc_id", 100, "test")
     return train, test
 
@@ -70,7 +71,7 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SPLIT + "SELECT (SELECT count(*) FROM (SELECT h FROM tr INTERSECT SELECT h FROM te)) AS overlap, (SELECT list_sort(list(len(tok)))[1 + len(list(len(tok))) // 2] FROM tr) AS p50, (SELECT list_sort(list(len(tok)))[1 + CAST(floor(count(*) * 0.9) AS INT)] FROM tr) AS p90")
 def split_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    sizes = train.select(F.size("tok").alias("n").cast("long"))
+    sizes = train.select("n")
     overlap = train.select("h").intersect(test.select("h")).agg(F.count(F.lit(1)).alias("overlap"))
     named = lambda q, x: sampling.nearest_rank(sizes, "n", q).select(F.col("value").alias(x))
     return overlap.crossJoin(named(0.5, "p50")).crossJoin(named(0.9, "p90"))  # single rows
@@ -109,7 +110,7 @@ def newline_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.append_line(F.col("text"), F.lit("# note\n")).alias("appended"))
 
 
-_BODY = "array_to_string(string_split(text, ' ')[3:6], ' ')"
+_BODY = "text"
 
 
 @query(rf"""
@@ -119,8 +120,7 @@ SELECT doc_id, length(b) >= 3 AND regexp_matches(b, '[A-Za-z0-9_]') AND NOT rege
  length(b) >= 3 AND regexp_matches(b, '[A-Za-z0-9_]') AND NOT regexp_matches(b, '/\*+|\*+/') AND NOT regexp_matches(b, '<(?:unk|pad|s|/s|mask|extra_id_\d+)>') AS repair,
  length(c) >= 4 AND regexp_matches(c, '[A-Za-z0-9_]') AND trim(replace(c, '#', '')) <> '' AND NOT regexp_matches(c, '(?i)#include|#!\s*/|<\?php|coding[:=]|copyright|licen[sc]e|all rights reserved|www\.|http://|https://|-\*-') AS completion FROM c""")
 def marker_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.array_join(F.slice(F.split("text", " "), 3, 4), " ")
-    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     return rows.select("doc_id", *[T.valid_body(F.col("body"), k).alias(k) for k in ("summarization", "repair", "completion")])
 
 
@@ -216,11 +216,11 @@ def seed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH g AS (SELECT doc_id, '<pad>x <extra_id_0> ' || array_to_string(string_split(text, ' ')[1:30], ' ') || ' <extra_id_1> rest' AS g FROM documents),
+WITH g AS (SELECT doc_id, '<pad>x <extra_id_0> ' || text || ' <extra_id_1> rest' AS g FROM documents),
 s AS (SELECT doc_id, string_split_regex(substr(g, strpos(g, '<extra_id_0>') + 12), '<extra_id_\d+>|</s>|<pad>')[1] AS span FROM g)
 SELECT doc_id, span, array_to_string(list_filter(string_split_regex(span, '[\t-\r\x1c-\x20\x{85}\p{Z}]+'), lambda t: t <> '')[1:20], ' ') AS short FROM s""")
 def generated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.concat(F.lit("<pad>x <extra_id_0> "), F.array_join(F.slice(F.split("text", " "), 1, 30), " "), F.lit(" <extra_id_1> rest"))
+    g = F.concat(F.lit("<pad>x <extra_id_0> "), F.col("text"), F.lit(" <extra_id_1> rest"))
     return table(spark, sf_dir, "documents").select("doc_id", T.span0(g).alias("span")).select("doc_id", "span", T.short(F.col("span")).alias("short"))
 
 
@@ -239,15 +239,18 @@ def fallback_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.last_identifiers(F.col("text")).alias("body"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:6], lambda x: length(x)::INT) AS p, list_transform(string_split(text, ' ')[1:3], lambda x: (100 + length(x))::INT) AS q FROM documents),
-x AS (SELECT doc_id, list_concat(p, q, [7])[1:12] AS ids, list_concat(list_transform(p, lambda x: -100), q, [7])[1:12] AS labels FROM t)
-SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(12 - len(ids)), lambda x: 7)), ',') AS ids, array_to_string(list_concat(labels, list_transform(range(12 - len(labels)), lambda x: -100)), ',') AS labels FROM x""")
+PACKED = 512
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::INT) AS p, list_transform(string_split(string_split(text, chr(10))[1], ' '), lambda x: (100 + length(x))::INT) AS q FROM documents),
+x AS (SELECT doc_id, list_concat(p, q, [7])[1:{PACKED}] AS ids, list_concat(list_transform(p, lambda x: -100), q, [7])[1:{PACKED}] AS labels FROM t)
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range({PACKED} - len(ids)), lambda x: 7)), ',') AS ids, array_to_string(list_concat(labels, list_transform(range({PACKED} - len(labels)), lambda x: -100)), ',') AS labels FROM x""")
 def causal_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.split("text", " ")
-    p = F.transform(F.slice(t, 1, 6), lambda x: F.length(x))
-    q = F.transform(F.slice(t, 1, 3), lambda x: F.length(x) + 100)
-    ids, labels = T.packed(p, q, 7, 12)
+    """Examples of whole texts and first lines, cut and padded to the model's window; words' lengths stand for ids."""
+    p = F.transform(F.split("text", " "), lambda x: F.length(x))
+    q = F.transform(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "), lambda x: F.length(x) + 100)
+    ids, labels = T.packed(p, q, 7, PACKED)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ids, ",").alias("ids"), F.array_join(labels, ",").alias("labels"))
 
 
@@ -262,12 +265,19 @@ def window_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(t, 1, 8), " ").alias("head"), F.array_join(F.slice(t, F.greatest(F.size(t) - 7, F.lit(1)), F.lit(8)), " ").alias("tail"))
 
 
-@query()
-def lexer_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.udfs import normal_mask, strip_comments
+_LEXED = "'x = \"a;b\"; // c;' || chr(10) || '/* d; */ y;' || text"
+_COMMENT, _STRING = r"//[^\n]*|/\*.*?(?:\*/|\z)", r""""(?:[^"\\]|\\.)*(?:"|\\?\z)|''(?:[^''\\]|\\.)*(?:''|\\?\z)"""
+
 
+@query(rf"""
+WITH x AS (SELECT doc_id, {_LEXED} AS t FROM documents), s AS (SELECT doc_id, t, regexp_extract_all(t, '(?s){_COMMENT}|{_STRING}') AS parts FROM x),
+n AS (SELECT doc_id, length(t) AS n, coalesce(list_sum(list_transform(list_filter(parts, lambda p: starts_with(p, '/')), lambda p: length(p))), 0) AS c, coalesce(list_sum(list_transform(parts, lambda p: length(p))), 0) AS a FROM s)
+SELECT doc_id, (n - a)::BIGINT AS plain_chars, (n - c)::BIGINT AS code_chars FROM n""")
+def lexer_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters outside strings and comments, and outside comments, of whole texts after a stub of code."""
     t = F.concat(F.lit('x = "a;b"; // c;\n/* d; */ y;'), F.col("text"))
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.aggregate(normal_mask(t), F.lit(0), lambda a, x: a + x.cast("int")).alias("plain_chars"), F.length(strip_comments(t)).alias("code_chars"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.length(strip_code(t, True)).cast("long").alias("plain_chars"), F.length(strip_code(t, False)).cast("long").alias("code_chars"))
 
 
 @query("SELECT source, lang, count(*) AS n, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE 'one' END AS level FROM documents GROUP BY GROUPING SETS ((source, lang), (source))")
@@ -280,8 +290,4 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
 def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential numbers in the order of ids, counted by range so that no task sorts all rows."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    parts = d.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    sizes = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(F.broadcast(sizes.withColumn("before", before)), "p").select("doc_id", (F.col("before") + F.col("m") - F.col("m0")).alias("idx"))
+    return numbered(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))

@@ -55,11 +55,11 @@ def match_and_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH x AS (SELECT doc_id, '<STR_LIT:' || substr(text, 1, 20) || '> = <NUM_LIT> + <NUM_LIT:42>' || chr(10) || '<CHAR_LIT>y' AS c FROM documents),
+WITH x AS (SELECT doc_id, '<STR_LIT:' || text || '> = <NUM_LIT> + <NUM_LIT:42>' || chr(10) || '<CHAR_LIT>y' AS c FROM documents),
 e AS (SELECT doc_id, regexp_replace(replace(replace(replace(c, '<NUM_LIT>', '0'), '<STR_LIT>', ''), '<CHAR_LIT>', ''), '(?s)<(STR|NUM|CHAR)_LIT:(.*?)>', '\2', 'g') AS e, c FROM x)
 SELECT doc_id, e AS expanded, regexp_replace(string_split(regexp_replace(c, '^\n+', ''), chr(10))[1], '^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '', 'g') AS first_line FROM e""")
 def completion_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.concat(F.lit("<STR_LIT:"), F.substring("text", 1, 20), F.lit("> = <NUM_LIT> + <NUM_LIT:42>\n<CHAR_LIT>y"))
+    c = F.concat(F.lit("<STR_LIT:"), F.col("text"), F.lit("> = <NUM_LIT> + <NUM_LIT:42>\n<CHAR_LIT>y"))
     return table(spark, sf_dir, "documents").select("doc_id", T.expand_literals(c).alias("expanded"), T.clean_pred(c, True).alias("first_line"))
 
 
@@ -110,6 +110,15 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("idx", indel_ratio("pred", "ref").alias("similarity"))
 
 
+_LITERALS = r"regexp_replace(replace(replace(replace({}, '<NUM_LIT>', '0'), '<STR_LIT>', ''), '<CHAR_LIT>', ''), '(?s)<(STR|NUM|CHAR)_LIT:(.*?)>', '\2', 'g')"
+
+
+@query(_PAIRS + f"SELECT count(*) AS n, round(100 * avg(CAST({_WORDS.format(_LITERALS.format('pred'))} = {_WORDS.format(_LITERALS.format('ref'))} AS INT)), 6) AS em_token FROM pairs")
+def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact match of words after completion literals are expanded."""
+    return pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(metrics.exact_match(F.col("pred"), F.col("ref"), "token"), 6).alias("em_token"))
+
+
 @query()
 def clean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.clean_metrics(pairs(spark, sf_dir), "then")
@@ -153,9 +162,13 @@ def token_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir).select("idx", F.array_join(F.sort_array("code_toks"), " ").alias("code_toks"), F.array_join(F.sort_array("target_toks"), " ").alias("target_toks"))
 
 
-@query(_COOC + "SELECT code_tok, target_tok, v FROM cells")
+@query(_COOC + "SELECT code_tok, count(*) AS cells, sum(v)::BIGINT AS total, max(v) AS top, sum(('0x' || substr(md5(target_tok || ':' || v), 1, 8))::BIGINT)::BIGINT AS digest FROM cells GROUP BY code_tok")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return naturalness.cooccurrence(snippets(spark, sf_dir))
+    """All cells, summed up for each code token: how many, their total, the greatest, and a sum of hashes of target and count,
+    so that a wrong cell shows without millions of rows being compared."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", "target_tok", F.col("v").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    cells = naturalness.cooccurrence(snippets(spark, sf_dir))
+    return cells.groupBy("code_tok").agg(F.count(F.lit(1)).alias("cells"), F.sum("v").alias("total"), F.max("v").alias("top"), F.sum(digest).alias("digest"))
 
 
 @query(_COOC + r""", n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.0004) AS INT) AS least FROM s),
@@ -168,12 +181,15 @@ def bias_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, regexp_replace(string_split(text, ' ')[1 + doc_id % 3], '^{WS}+|{WS}+$', '', 'g') AS t FROM documents UNION ALL SELECT * FROM (VALUES (-1, '1_000'), (-2, '1d'), (-3, 'nan'), (-4, '-inf'), (-5, '1e5'), (-6, '.5'), (-7, '0x1p3')) x(doc_id, t))
-SELECT doc_id, t, regexp_matches(t, '(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?(e[+-]?\d+(_\d+)*)?|\.\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)$') AS is_number FROM d WHERE t IS NOT NULL""")
+WITH d AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), e AS (SELECT doc_id, regexp_replace(w, '^{WS}+|{WS}+$', '', 'g') AS t FROM d UNION ALL SELECT * FROM (VALUES (-1, '1_000'), (-2, '1d'), (-3, 'nan'), (-4, '-inf'), (-5, '1e5'), (-6, '.5'), (-7, '0x1p3')) x(doc_id, t)),
+m AS (SELECT doc_id, regexp_matches(t, '(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?(e[+-]?\d+(_\d+)*)?|\.\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)$') AS y FROM e)
+SELECT doc_id, count(*) AS tokens, count(*) FILTER (y) AS numbers FROM m GROUP BY doc_id""")
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.strip_prefix(F.get(F.split("text", " "), (F.col("doc_id") % 3).cast("int"))).alias("t"))
-    own = spark.createDataFrame([(-1, "1_000"), (-2, "1d"), (-3, "nan"), (-4, "-inf"), (-5, "1e5"), (-6, ".5"), (-7, "0x1p3")], "doc_id long, t string")
-    return d.unionByName(own).where("t IS NOT NULL").select("doc_id", "t", T.is_number(F.col("t")).alias("is_number"))
+    """How many of each text's tokens are numbers, and of some that are hard to tell."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ").alias("w"))
+    own = spark.createDataFrame([(-1, ["1_000"]), (-2, ["1d"]), (-3, ["nan"]), (-4, ["-inf"]), (-5, ["1e5"]), (-6, [".5"]), (-7, ["0x1p3"])], "doc_id long, w array<string>")
+    numbers = F.size(F.filter("w", lambda t: T.is_number(T.strip_prefix(t)))).cast("long")
+    return d.unionByName(own).select("doc_id", F.size("w").cast("long").alias("tokens"), numbers.alias("numbers"))
 
 
 #: Samples that either of two runs flags; the model is fitted on all others.
@@ -256,13 +272,53 @@ def cached_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naturalness.scan_missing(cut, readers.cached(spark, root, tag), grams, loo=False).select("idx", F.round("base", 6).alias("base"))
 
 
-@query()
+_LOO = (
+    _KN
+    + """, q AS (SELECT idx, tok, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
+w0 AS (SELECT idx, m, 0 AS j, i, s[greatest(1, i - 3):i] AS l FROM (SELECT idx, m, s, unnest(range(2, m + 3)) AS i FROM q)),
+g0 AS (SELECT idx, m, j, list_concat(s[greatest(1, j - 2):j], s[j + 2:j + 4]) AS l, j - greatest(1, j - 2) + 1 AS a, j FROM (SELECT idx, m, s, unnest(range(1, m + 1)) AS j FROM q)),
+w1 AS (SELECT idx, m, j, j + r AS i, l[greatest(1, a + r - 3):a + r] AS l FROM (SELECT idx, m, j, l, a, unnest(range(1, len(l) - a + 1)) AS r FROM g0)),
+w AS (SELECT idx, m, j, i, l, len(l) AS z FROM w0 UNION ALL SELECT idx, m, j, i, l, len(l) AS z FROM w1),
+kinds_ AS (SELECT DISTINCT l, z FROM w),
+x AS (SELECT l, z, array_to_string(l[z - 3:z], chr(1)) AS g4, array_to_string(l[z - 3:z - 1], chr(1)) AS h3, array_to_string(l[z - 2:z], chr(1)) AS g3, array_to_string(l[z - 2:z - 1], chr(1)) AS h2, array_to_string(l[z - 1:z], chr(1)) AS g2, l[z - 1] AS h1, l[z] AS g1 FROM kinds_),
+y AS (SELECT x.l, CASE WHEN z >= 4 AND a4.p IS NOT NULL THEN a4.p ELSE CASE WHEN z >= 4 THEN coalesce(b3.b, 0) ELSE 0 END + CASE WHEN z >= 3 AND a3.p IS NOT NULL THEN a3.p ELSE CASE WHEN z >= 3 THEN coalesce(b2.b, 0) ELSE 0 END
+  + CASE WHEN a2.p IS NOT NULL THEN a2.p ELSE coalesce(b1.b, 0) + coalesce(a1.p, (SELECT p FROM kn WHERE g = '<unk>')) END END END AS p
+ FROM x LEFT JOIN kn a4 ON a4.g = g4 LEFT JOIN kn b3 ON b3.g = h3 LEFT JOIN kn a3 ON a3.g = g3 LEFT JOIN kn b2 ON b2.g = h2 LEFT JOIN kn a2 ON a2.g = g2 LEFT JOIN kn b1 ON b1.g = h1 LEFT JOIN kn a1 ON a1.g = g1),
+v AS (SELECT idx, m, j, i, p FROM w JOIN y ON y.l = w.l),
+t0 AS (SELECT idx, max(m) AS m, sum(p) AS total FROM v WHERE j = 0 GROUP BY idx),
+gone AS (SELECT idx, j, sum(p) AS p FROM v WHERE j > 0 GROUP BY idx, j),
+b0 AS (SELECT idx, i, p FROM v WHERE j = 0),
+own AS (SELECT idx, i - 1 AS j, p FROM b0),
+behind AS (SELECT g.idx, g.j, sum(b0.p) AS p FROM (SELECT DISTINCT idx, j FROM v WHERE j > 0) g JOIN b0 ON b0.idx = g.idx AND b0.i BETWEEN g.j + 2 AND g.j + 4 GROUP BY ALL),
+dl AS (SELECT t0.idx, gone.j, -total / m AS base, CASE WHEN m = 1 THEN 0.0 ELSE -(total - own.p - behind.p + gone.p) / (m - 1) END AS loo FROM gone JOIN t0 ON t0.idx = gone.idx JOIN own ON own.idx = gone.idx AND own.j = gone.j JOIN behind ON behind.idx = gone.idx AND behind.j = gone.j),
+tk AS (SELECT idx, j, regexp_replace(replace(replace(tok[j], '▁', ''), 'Ġ', ''), '^[\\t-\\r\\x1c-\\x20\\pZ]+|[\\t-\\r\\x1c-\\x20\\pZ]+$', '', 'g') AS t FROM (SELECT idx, tok, unnest(range(1, m + 1)) AS j FROM q)),
+td AS (SELECT tk.idx, t, round(arg_max(base - loo, tk.j), 9) AS d, min(tk.j) AS first FROM tk JOIN dl ON dl.idx = tk.idx AND dl.j = tk.j
+ WHERE t <> '' AND NOT regexp_matches(t, '(?i)^[+-]?(\\d+(_\\d+)*(\\.(\\d+(_\\d+)*)?)?(e[+-]?\\d+(_\\d+)*)?|\\.\\d+(_\\d+)*(e[+-]?\\d+(_\\d+)*)?|inf(inity)?|nan)$') GROUP BY tk.idx, t),
+rk AS (SELECT t AS tok, round(sum(d), 6) AS total FROM (SELECT * FROM td QUALIFY row_number() OVER (PARTITION BY idx ORDER BY d DESC, first) <= 10) GROUP BY t)
+"""
+)
+
+
+@query(_LOO + "SELECT tok, total FROM rk")
 def leave_one_out_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, found = _scanned(spark, sf_dir)
     return naturalness.rank_candidates(naturalness.token_deltas(cut, found), 10)
 
 
-@query()
+_FLAGGED = (
+    _LOO
+    + _COOC.removeprefix(_SAMPLES).replace("cells AS", "cells AS")
+    + """, nn AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.0004) AS INT) AS least FROM s),
+ka AS (SELECT code_tok, target_tok, v FROM cells, nn WHERE v < nn.n QUALIFY max(v) OVER (PARTITION BY code_tok) >= nn.least),
+kb AS (SELECT ka.* FROM ka, nn QUALIFY max(v) OVER (PARTITION BY target_tok) >= nn.least), kc AS (SELECT kb.* FROM kb, nn QUALIFY max(v) OVER (PARTITION BY code_tok) >= nn.least),
+kz AS (SELECT *, avg(v) OVER (PARTITION BY code_tok) AS mc, stddev_pop(v) OVER (PARTITION BY code_tok) AS sc, avg(v) OVER (PARTITION BY target_tok) AS mt, stddev_pop(v) OVER (PARTITION BY target_tok) AS st FROM kc),
+bp AS (SELECT DISTINCT code_tok FROM kz WHERE sc > 0 AND st > 0 AND (v - mc) / nullif(sc, 0) > 3 AND (v - mt) / nullif(st, 0) > 3),
+be AS (SELECT tok FROM (SELECT tok, total FROM rk ORDER BY total DESC, tok LIMIT 10) WHERE tok IN (SELECT code_tok FROM bp))
+"""
+)
+
+
+@query(_FLAGGED + "SELECT DISTINCT idx FROM tk WHERE t IN (SELECT tok FROM be)")
 def flagged_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that hold one of the best tokens, if it has a biased pair as well."""
     cut, found = _scanned(spark, sf_dir)
@@ -291,10 +347,13 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.detection_summary(runs(spark, sf_dir))
 
 
-@query()
+@query(_RUNS + """, s AS (SELECT task, trigger, defense, round(avg(removed_samples), 6) AS removed_samples_per_run, round(100.0 * sum(poisoned_removed) / sum(poisoned_total), 6) AS recall,
+ round(100.0 * sum(removed_samples - poisoned_removed) / sum(10000 - poisoned_total), 6) AS fpr, sum(poisoned_removed)::BIGINT AS tp, sum(poisoned_total)::BIGINT AS n_poison FROM r GROUP BY task, trigger, defense),
+k AS (SELECT *, removed_samples_per_run / 10000 AS p, unnest(range(tp, n_poison + 1)) AS k FROM s)
+SELECT task, trigger, defense, removed_samples_per_run, recall, fpr, tp, n_poison, round(CASE WHEN tp <= 0 THEN 1.0 ELSE least(1.0, sum(exp(lgamma(n_poison + 1) - lgamma(k + 1) - lgamma(n_poison - k + 1) + k * ln(p) + (n_poison - k) * ln(1 - p)))) END, 9) AS p_binomial FROM k GROUP BY task, trigger, defense, removed_samples_per_run, recall, fpr, tp, n_poison""")
 def binomial_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stats.detection_summary(runs(spark, sf_dir)).where("trigger <> 'all'")
-    return s.withColumn("p_binomial", stats.p_binomial("tp", "n_poison", F.col("removed_samples_per_run") / 10_000))
+    return s.withColumn("p_binomial", F.round(stats.p_binomial("tp", "n_poison", F.col("removed_samples_per_run") / 10_000), 9))
 
 
 @query(_RUNS + "SELECT task, trigger, defense, seed, round(r.asr - b.asr, 4) AS d FROM r JOIN (SELECT task, trigger, seed, asr FROM r WHERE defense = 'error') b USING (task, trigger, seed) WHERE defense <> 'error'")
@@ -304,9 +363,14 @@ def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("defense <> 'error'").join(base, ["task", "trigger", "seed"]).select("task", "trigger", "defense", "seed", F.round(F.col("asr") - F.col("b"), 4).alias("d"))
 
 
-@query()
+#: By trying all signs: right where no difference is zero and no two are alike, as among these runs.
+@query(_RUNS + """, p AS (SELECT task, trigger, defense, r.asr - b.asr AS d FROM r JOIN (SELECT task, trigger, seed, asr FROM r WHERE defense = 'error') b USING (task, trigger, seed) WHERE defense <> 'error'),
+q AS (SELECT *, rank() OVER (PARTITION BY task, trigger, defense ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY task, trigger, defense) AS n FROM p),
+g AS (SELECT task, trigger, defense, n, least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END))::BIGINT AS low FROM q GROUP BY ALL),
+s AS (SELECT g.*, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (b >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) AS up FROM g, range(1024) x(b) WHERE b < (1 << n))
+SELECT task, trigger, defense, n, round(least(1.0, 2.0 * count(*) FILTER (up <= low) / count(*)), 9) AS p_wilcoxon FROM s GROUP BY task, trigger, defense, n""")
 def wilcoxon_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.paired_tests(runs(spark, sf_dir), "asr", "error")
+    return stats.paired_tests(runs(spark, sf_dir), "asr", "error").withColumn("p_wilcoxon", F.round("p_wilcoxon", 9))
 
 
 @query(_RUNS + "SELECT task, defense, round(avg(asr), 4) AS mean_asr, count(DISTINCT seed) AS seeds FROM r GROUP BY task, defense")
