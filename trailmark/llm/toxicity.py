@@ -51,31 +51,29 @@ def _grams(word: str, frequent: set[str] | None = None) -> list[str]:
     return [*{w[i:j] for i, j in spans} | ({w} if at[0] and at[-1] else set())]
 
 
-def marked_terms(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
+def marked_terms(words: list[str], docs: list[np.ndarray], toxic: np.ndarray) -> list[str]:
     """Sequences whose presence tells the classes apart (chi-square of at least CHI), without near copies of each other.
 
-    docs: each text's words. A term that few toxic texts have can't reach the bound, and its shortest parts are at least as
-    frequent: only words whose parts are frequent enough are taken apart, so memory follows the frequent terms, not all.
+    docs: each text's words by their places in `words`. A term that few toxic texts have can't reach the bound, and its
+    shortest parts are at least as frequent: only words whose parts are frequent enough are taken apart, so memory follows
+    the frequent terms, not all.
     """
-    at: dict[str, list[int]] = {}
-    for i, d in enumerate(docs):
-        for w in d:
-            at.setdefault(w, []).append(i)
-    holders = {w: np.array(x, np.int64) for w, x in at.items()}
+    all_ = np.concatenate([*docs, np.zeros(0, np.int32)])
+    by = np.argsort(all_, kind="stable")
+    holder, at = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])[by], np.searchsorted(all_[by], np.arange(len(words) + 1))
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())], float)
     least = max(3, int(np.ceil(CHI * n[1] * n.sum() / (n.sum() * n[0] + CHI * n[1]))))
+    ill = [d.tolist() for d, y in zip(docs, toxic.tolist(), strict=True) if y == 1]
     short: Counter = Counter()
-    for d, y in zip(docs, toxic.tolist(), strict=True):
-        if y == 1:
-            short.update({g for w in d for g in _grams(w)})
+    for d in ill:
+        short.update({g for w in d for g in _grams(words[w])})
     frequent = {g for g, c in short.items() if c >= least}
     del short
-    of = {w: _grams(w, frequent) for w in holders}
+    of = {i: gs for i, w in enumerate(words) if (gs := _grams(w, frequent))}
     few: Counter = Counter()
-    for d, y in zip(docs, toxic.tolist(), strict=True):
-        if y == 1:
-            few.update({g for w in d for g in of[w]})
-    inside: dict[str, list[str]] = {g: [] for g, c in few.items() if c >= least}
+    for d in ill:
+        few.update({g for w in d for g in of.get(w, ())})
+    inside: dict[str, list[int]] = {g: [] for g, c in few.items() if c >= least}
     for w, s in of.items():
         for g in s:
             if g in inside:
@@ -84,7 +82,7 @@ def marked_terms(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     for g, ws in inside.items():
         row = np.zeros(len(docs), bool)
         for w in ws:
-            row[holders[w]] = True
+            row[holder[at[w] : at[w + 1]]] = True
         a, b = float((row & (toxic == 1)).sum()), float((row & (toxic == 0)).sum())
         chi = n.sum() * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / (n[0] * n[1] * max(1e-9, (a + b) * (n.sum() - a - b)))
         pure = a / n[1] - 4 * b / n[0]  # of terms alike in chi-square, those that clean texts don't have
@@ -117,15 +115,18 @@ class ToxicityIndex:
     def __init__(self, texts: list[str], toxic: list[int], ids: list[int], rates: tuple[float, float], k: int = K, floor: float = FLOOR):
         self.k, self.rates = k, rates
         y = np.array(toxic, np.int64)
-        docs = [{*plain(x).split()} for x in texts]
-        self.marked = [*marked_terms(docs, y), WORD]
-        self.words = {w: len(self.marked) + i for i, w in enumerate(sorted(set().union(*docs)))}
+        known: dict[str, int] = {}
+        docs = [np.array(sorted({known.setdefault(w, len(known)) for w in plain(x).split()}), np.int32) for x in texts]
+        self.marked = [*marked_terms([*known], docs, y), WORD]
+        del docs
+        self.words = {w: len(self.marked) + i for i, w in enumerate(sorted(known))}
         v = len(self.marked) + len(self.words)
         self._machine()
-        counts = [self.count(x) for x in texts]
-        df = np.bincount([t for c in counts for t in c], minlength=v)
+        counts = [(np.fromiter(c, np.int32, len(c)), np.fromiter(c.values(), np.float32, len(c))) for c in map(self.count, texts)]
+        df = np.bincount(np.concatenate([t for t, _ in counts] or [np.zeros(0, np.int32)]), minlength=v)
         self.idf = (np.log((1 + len(texts)) / (1 + df)) + 1) * np.where(np.arange(v) < len(self.marked), 1.0, floor)
-        vectors = [self.vector(c) for c in counts]
+        vectors = [self.weighted(*c) for c in counts]
+        del counts
         m = len(self.marked)
         order = sorted(range(len(texts)), key=lambda i: (vectors[i][0][vectors[i][0] < m].tolist(), y[i], ids[i]))  # like examples share blocks
         self.ids, self.y = np.array(ids, np.int64)[order], y[order]
@@ -177,10 +178,14 @@ class ToxicityIndex:
         return out
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
+        return self.weighted(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+
+    def weighted(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A unit vector: terms in order, and their weights."""
         by = np.argsort(t)
-        return t[by], w[by] / max(1e-300, np.sqrt((w * w).sum()))
+        t, n = t[by].astype(np.int64), n[by].astype(float)
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / max(1e-300, np.sqrt((w * w).sum()))
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector places and cosines of the k nearest examples that share a term; of equal ones those that stand first.
