@@ -8,6 +8,8 @@ window's other terms is read from these words, so no long list of a frequent ter
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,11 @@ def positional_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     exact = aligned == F.col("win")
     same = F.size(F.filter(F.zip_with(aligned, F.col("win"), lambda a, b: a == b), lambda x: x))
     first = ~F.exists("rarer", lambda o: F.get(aligned, o) == F.get("win", o))  # else the rarer place has made this match
-    met = postings.join(small(anchored), "term").where(fits & first & (exact | (same >= NEAR)))
+    # At most two words differ, so of three places beside the anchor one is equal: most candidates go before any slice is made.
+    n = F.size("win")
+    beside = [(F.col("off") + k) % n for k in range(1, WINDOW - NEAR + 2)]
+    likely = functools.reduce(Column.__or__, [F.get("around", start + 1 - F.col("from") + i) == F.get("win", i) for i in beside])
+    met = postings.join(small(anchored), "term").where(fits & likely & first & (exact | (same >= NEAR)))
     matches = met.select("rid", start.alias("start"), F.size("win").alias("len"), "items", exact.alias("phrase"))
     return rows, matches
 
