@@ -26,6 +26,8 @@ BLOCK = 64
 DENSE = 8
 #: Texts that are searched at a time.
 GROUP = 32
+#: Rows that a task returns at a time.
+SLICE = 1024
 _GAP = re.compile(r"[\W\d_]+")
 _LENGTHS = (5, 6, 7)
 
@@ -288,11 +290,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityIndex, keep: tuple[str, ...]
     """
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "neighbours array<bigint>", "terms array<string>"])
 
+    sent = [*keep] if text_col in keep else [*keep, text_col]  # a text that is kept goes to Python once
+    at_text = sent.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(batch.num_columns - 1)]
-            made = [m for at in range(0, len(texts), GROUP) for m in model.score(texts[at : at + GROUP])]
-            arrays = [pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + arrays, names=[*keep, "score", "neighbours", "terms"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = [m for i in range(0, part.num_rows, GROUP) for m in model.score([x or "" for x in part.column(at_text).slice(i, GROUP).to_pylist()])]
+                arrays = [pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(part.columns[: len(keep)] + arrays, names=[*keep, "score", "neighbours", "terms"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
