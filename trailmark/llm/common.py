@@ -64,8 +64,8 @@ def bounded_texts(rows: DataFrame, key: str, by: str, budget: int, longest: int
     return rows.join(small(sums, 10_000), by).where(at < F.lit(float(budget)) / F.col("__b")).drop("__b")
 
 
-def fitting_rows(docs: DataFrame, labelled: DataFrame, label: str, limit: int, budget: int = FIT_BYTES) -> tuple[list, tuple[float, float]]:
-    """The rows (doc_id, label, text) that a classifier is fitted on, in order of their ids, and each class's share of them.
+def fitting_table(docs: DataFrame, labelled: DataFrame, label: str, limit: int, budget: int = FIT_BYTES) -> tuple[DataFrame, tuple[float, float]]:
+    """The rows (doc_id, label, text) that a classifier is fitted on, saved, and each class's share of them.
 
     labelled: doc_id and label, 0 or 1, once for each id. At most about `limit` rows and `budget`/2 bytes of each class.
     """
@@ -73,6 +73,12 @@ def fitting_rows(docs: DataFrame, labelled: DataFrame, label: str, limit: int, b
     n = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
     picked = small(saved(bounded_sample(labelled, "doc_id", label, limit)))
     texts = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
-    rows = bounded_texts(saved(texts), "doc_id", label, budget // 2).orderBy("doc_id").collect()
-    got = [sum(r[label] == c for r in rows) for c in (0, 1)]
-    return rows, tuple(min(1.0, max(1, got[c]) / max(1, n.get(c, 0))) for c in (0, 1))
+    rows = saved(bounded_texts(saved(texts), "doc_id", label, budget // 2))
+    got = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    return rows, tuple(min(1.0, max(1, got.get(c, 0)) / max(1, n.get(c, 0))) for c in (0, 1))
+
+
+def fitting_rows(docs: DataFrame, labelled: DataFrame, label: str, limit: int, budget: int = FIT_BYTES) -> tuple[list, tuple[float, float]]:
+    """fitting_table's rows in order of their ids, and each class's share of them."""
+    rows, rates = fitting_table(docs, labelled, label, limit, budget)
+    return rows.orderBy("doc_id").collect(), rates

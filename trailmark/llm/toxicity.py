@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fitting_rows
+from .common import crc_mod, fitting_table
 
 #: Labelled rows of each class that the index may hold, about; neighbours that vote.
 EXAMPLES, K = 1500, 15
@@ -274,14 +276,47 @@ class ToxicityIndex:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, folds: int = 5, held: int = 0) -> ToxicityIndex:
-    """Fits the index on a bounded sample (`examples` rows of each class, FIT_BYTES of text) of the labelled rows outside the held-out fold."""
+class FittedIndex:
+    """A ToxicityIndex as bytes, which is made of them where it is first used: the driver passes it on without holding one."""
+
+    def __init__(self, packed: bytes):
+        self.packed = packed
+
+    def __reduce__(self) -> tuple:
+        return FittedIndex, (self.packed,)
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("__") or name in ("packed", "index"):
+            raise AttributeError(name)
+        if "index" not in self.__dict__:
+            self.index = pickle.loads(zlib.decompress(self.packed))
+        return getattr(self.index, name)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, folds: int = 5, held: int = 0) -> FittedIndex:
+    """Fits the index on a bounded sample (`examples` rows of each class, FIT_BYTES of text) of the labelled rows outside the held-out fold.
+
+    One task reads the saved sample and fits; the driver gets the packed index alone. Where the task is lost, the next one
+    fits the same index.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
-    rows, rates = fitting_rows(docs, usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic", examples)
-    return ToxicityIndex([r["text"] for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], rates)
+    rows, rates = fitting_table(docs, usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic", examples)
+
+    def packed(rows: list[tuple[int, int, str]]) -> bytes:
+        rows = sorted(rows)
+        index = ToxicityIndex([t for _, _, t in rows], [y for _, y, _ in rows], [i for i, _, _ in rows], rates)
+        return zlib.compress(pickle.dumps(index, pickle.HIGHEST_PROTOCOL), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(rows)], pa.binary())], names=["packed"])
+
+    found = rows.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, "packed binary").collect()
+    return FittedIndex(bytes(found[0]["packed"]) if found else packed([]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityIndex, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityIndex | FittedIndex, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """`keep`, score, neighbours (ids of up to 5 nearest examples), terms: a row for each row, by whole texts, without a shuffle.
 
     Texts that share no term with any example, null and empty ones too, get the share of label 1 among the labelled rows;
