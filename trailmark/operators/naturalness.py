@@ -92,13 +92,37 @@ def lm_counts(corpus: DataFrame, tokens: str, order: int = 4) -> DataFrame:
     return corpus.select(padded(F.col(tokens)).alias("__t")).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def adjusted_counts(counts: DataFrame, order: int = 4) -> DataFrame:
-    """gram, k, a: raw counts of the longest grams and of those that begin a sentence; of others how many tokens stand before them."""
-    k = F.size("gram")
-    before = counts.where(k > 1).groupBy(F.slice("gram", F.lit(2), k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("before"))
-    starts = F.col("gram")[0] == "<s>"
-    both = counts.join(before, "gram", "left").where(~(starts & (k == 1)))
-    return both.select("gram", k.alias("k"), F.when((k == order) | starts, F.col("n")).otherwise(F.col("before")).alias("a"))
+def _columns(order: int) -> list[str]:
+    return [f"c{i}" for i in range(1, order + 1)]
+
+
+def window_counts(corpus: DataFrame, tokens: str, order: int = 4) -> DataFrame:
+    """c1 .. c`order`, n: how often each window of token hashes occurs that ends at a token or the end mark.
+
+    Windows that begin before the sentence are filled with 0 on the left. They hold all that kneser_ney() needs of the shorter
+    n-grams: their raw counts matter only at the start of a sentence. Keys of fixed width make it a plain hash aggregate.
+    """
+    blank = [F.lit(0).cast("long")] * (order - 1)
+    seq = F.concat(F.array(*blank, F.lit(NgramModel.signed("<s>"))), F.transform(tokens, lambda t: F.xxhash64(t)), F.array(F.lit(NgramModel.signed("</s>"))))
+    # Shifted copies side by side: each text is hashed a fixed number of times, not once for each place.
+    shifted = F.arrays_zip(*[F.slice("__s", i + 2, F.size("__s") - order).alias(c) for i, c in enumerate(_columns(order))])
+    each = corpus.where(F.col(tokens).isNotNull()).select(seq.alias("__s")).select(F.inline(shifted).alias(*_columns(order)))
+    return each.groupBy(*_columns(order)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_counts(windows: DataFrame, order: int = 4) -> DataFrame:
+    """c1 .. c`order`, k, a: raw counts of the longest grams and of those that begin a sentence; of others how many tokens stand before them."""
+    c, mark = _columns(order), NgramModel.signed("<s>")
+    levels = [windows.where(F.col(c[0]) != 0).select(*c, F.lit(order).alias("k"), F.col("n").alias("a"))]
+    for k in range(order - 1, 0, -1):
+        blank = [F.lit(0).cast("long").alias(x) for x in c[: order - k]]
+        before = levels[-1].groupBy(*c[order - k :]).agg(F.count(F.lit(1)).alias("a")).where(F.col(c[order - k]) != mark)
+        level = before.select(*blank, *c[order - k :], F.lit(k).alias("k"), "a")
+        if k > 1:
+            starts = windows.where((F.col(c[order - k]) == mark) & (F.col(c[order - k - 1]) == 0))
+            level = level.unionByName(starts.select(*c, F.lit(k).alias("k"), F.col("n").alias("a")))
+        levels.append(saved(level))
+    return functools.reduce(DataFrame.unionByName, levels)
 
 
 def discounts(adjusted: DataFrame) -> DataFrame:
@@ -113,28 +137,50 @@ def discounts(adjusted: DataFrame) -> DataFrame:
     return t.select("k", *[F.when(fits, x).otherwise(i / 2).alias(f"d{i}") for i, x in enumerate(d, 1)])
 
 
-def kneser_ney(counts: DataFrame, order: int = 4) -> DataFrame:
-    """gram, log_p, log_b: an interpolated n-gram model with modified Kneser-Ney smoothing, in log10.
+def smoothed(windows: DataFrame, order: int = 4) -> DataFrame:
+    """c1 .. c`order`, log_p, log_b: an interpolated n-gram model with modified Kneser-Ney smoothing, in log10.
 
-    counts: lm_counts(). Every gram is joined to its suffixes at once, so the recursion over lengths is a fold over at most
-    `order` parts instead of a chain of joins. `<s>` has a back-off weight only; `<unk>` gets the share of one unseen kind.
+    windows: window_counts(), saved. Lengths follow one another, as each takes from the one below: a join of each length with
+    the shorter one, by columns of fixed width. `<s>` has a back-off weight only; `<unk>` gets the share of one unseen kind.
     """
-    adjusted = saved(adjusted_counts(counts, order))
+    c = _columns(order)
+    adjusted = adjusted_counts(windows, order)
     a, k = F.col("a"), F.col("k")
     d = F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = adjusted.join(F.broadcast(discounts(adjusted)), "k").select("gram", "k", "a", d.alias("d"), F.slice("gram", F.lit(1), k - 1).alias("ctx"))  # a row for each length
-    per = saved(rows.groupBy("ctx").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("g")))
-    own = saved(rows.join(per, "ctx").select("gram", "k", ((a - F.col("d")) / F.col("total")).alias("u"), "g"))
+    shift = [F.col(y).alias(f"x{i}") for i, y in enumerate(c[:-1], 2)]  # a gram's context, one place to the right
+    x = [f"x{i}" for i in range(2, order + 1)]
+    rows = adjusted.join(F.broadcast(saved(discounts(adjusted))), "k").select(*c, "k", "a", d.alias("d"), *shift)  # a row for each length
+    # Of no context there are many grams of one token: `k` apart, or the sums of all lengths would meet.
+    per = saved(rows.groupBy("k", *x).agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("g")))
+    own = saved(rows.join(per, ["k", *x]).select(*c, "k", ((a - F.col("d")) / F.col("total")).alias("u"), "g"))
     kinds = own.where(k == 1).agg((F.count(F.lit(1)) + 1).alias("kinds"))
-    ends = own.select("gram", F.explode(F.sequence(F.lit(1), k)).alias("j"), "k").select("gram", "j", F.slice("gram", k - F.col("j") + 1, F.col("j")).alias("end"))
-    parts = ends.join(own.select(F.col("gram").alias("end"), "u", "g"), "end").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("j", "u", "g"))).alias("x"))
-    whole = F.aggregate("x", 1 / F.col("kinds"), lambda p, x: x["u"] + x["g"] * p)
-    grams = parts.crossJoin(F.broadcast(kinds)).select("gram", whole.alias("p"))  # kinds is one row
-    back = per.select(F.col("ctx").alias("gram"), "g")
-    begin = back.where(F.col("gram") == F.array(F.lit("<s>"))).select("gram", F.lit(None).cast("double").alias("log_p"), F.log10("g").alias("log_b"))
-    unseen = back.where(F.size("gram") == 0).crossJoin(F.broadcast(kinds)).select(F.array(F.lit("<unk>")).alias("gram"), F.log10(F.col("g") / F.col("kinds")).alias("log_p"), F.lit(0.0).alias("log_b"))
-    known = grams.join(back, "gram", "left").select("gram", F.log10("p").alias("log_p"), F.coalesce(F.log10("g"), F.lit(0.0)).alias("log_b"))
-    return known.unionByName(begin).unionByName(unseen)
+    levels = [saved(own.where(k == 1).crossJoin(F.broadcast(kinds)).select(*c, "k", (F.col("u") + F.col("g") / F.col("kinds")).alias("p")))]  # kinds is one row
+    for n in range(2, order + 1):
+        end = c[order - n + 1 :]
+        longer = own.where(k == n).join(levels[-1].select(*end, "p"), end, "left").select(*c, "k", (F.col("u") + F.col("g") * F.coalesce("p", F.lit(0.0))).alias("p"))
+        levels.append(saved(longer) if n < order else longer)
+    back = per.select((k - 1).alias("k"), *[F.col(f"x{i}").alias(y) for i, y in enumerate(c[1:], 2)], "g")
+    no = F.lit(0).cast("long").alias(c[0])
+    known = [p.join(back, ["k", *c[1:]], "left").select(*c, F.log10("p").alias("log_p"), F.coalesce(F.log10("g"), F.lit(0.0)).alias("log_b")) for p in levels[:-1]]
+    known.append(levels[-1].select(*c, F.log10("p").alias("log_p"), F.lit(0.0).alias("log_b")))
+    begin = back.where((k == 1) & (F.col(c[-1]) == NgramModel.signed("<s>"))).select(no, *c[1:], F.lit(None).cast("double").alias("log_p"), F.log10("g").alias("log_b"))
+    unk = [*[F.lit(0).cast("long").alias(y) for y in c[:-1]], F.lit(NgramModel.signed("<unk>")).alias(c[-1])]
+    unseen = back.where(k == 0).crossJoin(F.broadcast(kinds)).select(*unk, F.log10(F.col("g") / F.col("kinds")).alias("log_p"), F.lit(0.0).alias("log_b"))
+    return functools.reduce(DataFrame.unionByName, [*known, *([begin] if order > 1 else []), unseen])
+
+
+def _hash_columns(order: int) -> list[Column]:
+    """The hashes of `gram`, right-aligned."""
+    return [F.when(F.size("gram") >= order - i, F.xxhash64(F.get("gram", F.size("gram") - order + i))).otherwise(0).alias(c) for i, c in enumerate(_columns(order))]
+
+
+def kneser_ney(counts: DataFrame, order: int = 4) -> DataFrame:
+    """gram, log_p, log_b: smoothed() with the tokens themselves. counts: lm_counts()."""
+    k = F.size("gram")
+    named = counts.select("gram", *_hash_columns(order), "n")
+    windows = named.where((k == order) | ((F.col("gram")[0] == "<s>") & (k > 1))).where((k > 1) | (F.col("gram")[0] != "<s>")).select(*_columns(order), "n")
+    model = smoothed(saved(windows), order)
+    return model.join(named.drop("n"), _columns(order), "left").select(F.coalesce("gram", F.array(F.lit("<unk>"))).alias("gram"), "log_p", "log_b")
 
 
 class NgramModel:
@@ -158,7 +204,12 @@ class NgramModel:
 
     @staticmethod
     def _hash(t: str) -> int:
-        return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        """As the engine's xxhash64()."""
+        return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=42)
+
+    @classmethod
+    def signed(cls, t: str) -> int:
+        return int(np.uint64(cls._hash(t)).view(np.int64))
 
     @classmethod
     def hashed(cls, gram: list[str]) -> int:
@@ -260,14 +311,14 @@ def _chain(window: np.ndarray, first: np.ndarray, last: int) -> np.ndarray:
 
 
 def scan_joined(samples: DataFrame, grams: DataFrame, tokens: str = "tokens", order: int = 4, loo: bool = True) -> DataFrame:
-    """As scan(), with kneser_ney() as a table: for a model that grows with the corpus, of which the driver gets one row.
+    """As scan(), with smoothed() or kneser_ney() as a table: for a model that grows with the corpus, of which the driver gets one row.
     Without `loo` the entropies with a token left out are not computed and null.
 
     A place costs what its last `order` tokens cost, so each kind of window is looked up once: its n-grams and contexts are
     joined to the model by their hashes, and what they cost is joined back to the places.
     """
-    model = saved(hashed_grams(grams))
-    unseen = model.where((F.col("size") == 1) & (F.col("key") == int(np.uint64(NgramModel.hashed(["<unk>"])).view(np.int64)))).first()
+    model = saved(hashed_grams(grams, order))
+    unseen = model.where((F.col("size") == 1) & (F.col("key") == NgramModel.signed("<unk>"))).first()
     rows = saved(samples.where(F.size(tokens) > 0).select("idx", F.col(tokens).alias("tokens")).withColumn("rid", F.monotonically_increasing_id()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,25 +412,29 @@ def joined_triggers(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_triggers"), F.array_join(F.transform(ordered, lambda x: x["tok"]), "|").alias("triggers"))
 
 
-def hashed_grams(grams: DataFrame) -> DataFrame:
-    """size, key, log_p, log_b. grams: kneser_ney(), hashed on the executors."""
+def hashed_grams(grams: DataFrame, order: int = 4) -> DataFrame:
+    """size, key, log_p, log_b. grams: smoothed(), or kneser_ney() with its tokens; hashed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            key = np.array([NgramModel.hashed(g) for g in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([len(g) for g in found], pa.int32()), pa.array(key), batch.column(1), batch.column(2)], names=["size", "key", "log_p", "log_b"])
+            key, size = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
+            for c in range(order):
+                of = batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64)
+                key = key * np.uint64(0x9E3779B97F4A7C15) ^ of  # zeros on the left leave it 0
+                size += of != 0
+            yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(key.view(np.int64)), batch.column(order), batch.column(order + 1)], names=["size", "key", "log_p", "log_b"])
 
-    return grams.select("gram", "log_p", "log_b").mapInArrow(run, "size int, key long, log_p double, log_b double")
+    c = _hash_columns(order) if "gram" in grams.columns else _columns(order)
+    return grams.select(*c, "log_p", "log_b").mapInArrow(run, "size int, key long, log_p double, log_b double")
 
 
 def hashed_model(grams: DataFrame, order: int = 4) -> NgramModel:
-    """grams: kneser_ney(). The driver gets 28 bytes for each as Arrow columns."""
-    got = hashed_grams(grams).toArrow()
+    """grams: smoothed() or kneser_ney(). The driver gets 28 bytes for each as Arrow columns."""
+    got = hashed_grams(grams, order).toArrow()
     size, key, p, b = (got.column(c).to_numpy() for c in ("size", "key", "log_p", "log_b"))
     return NgramModel(size, key.view(np.uint64), p, b, order)
 
 
 def fit_model(clean: DataFrame, tokens: str = "tokens", settings: Naturalness = Naturalness()) -> NgramModel:
     """clean: the bounded sample (settings.clean snippets of at most settings.max_tokens tokens) of clean snippets."""
-    return hashed_model(kneser_ney(saved(lm_counts(clean, tokens, settings.order)), settings.order), settings.order)
+    return hashed_model(smoothed(saved(window_counts(clean, tokens, settings.order)), settings.order), settings.order)

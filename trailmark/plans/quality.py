@@ -231,6 +231,11 @@ def counted(cut: DataFrame) -> DataFrame:
     return saved(naturalness.lm_counts(clean(cut), "whole"))
 
 
+def fitted(cut: DataFrame) -> DataFrame:
+    """The model of the clean corpus, by hashes of its tokens."""
+    return naturalness.smoothed(saved(naturalness.window_counts(clean(cut), "whole")))
+
+
 @query(_KN + "SELECT replace(g, chr(1), ' ') AS gram, round(p, 6)::DOUBLE AS log_p, round(b, 6)::DOUBLE AS log_b FROM kn")
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-gram model itself: what every n-gram of the corpus costs, and what giving it up as a context costs."""
@@ -247,7 +252,7 @@ def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scanned(spark: SparkSession, sf_dir: str, loo: bool = True) -> tuple[DataFrame, DataFrame]:
     """The snippets, and their scan under the model of the clean corpus."""
     cut = tokenised(spark, sf_dir)
-    return cut, naturalness.scan_joined(cut, naturalness.kneser_ney(counted(cut)), loo=loo)
+    return cut, naturalness.scan_joined(cut, fitted(cut), loo=loo)
 
 
 @query(_KN + """, q AS (SELECT idx, len(tok) AS m, list_concat(['<s>'], tok, ['</s>']) AS s FROM d WHERE len(tok) > 0),
@@ -266,7 +271,7 @@ def cached_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entropies of all snippets: those of every seventh come from a stored cache that an earlier scan has left under the
     tag of its inputs, the others from a scan."""
     cut = tokenised(spark, sf_dir)
-    grams = saved(naturalness.kneser_ney(counted(cut)))
+    grams = saved(fitted(cut))
     root, tag = fresh_path(spark), sinks.cache_tag(sf_dir, "snippet_entropy")
     sinks.write_cache(naturalness.scan_joined(cut.where("idx % 7 = 0"), grams, loo=False), root, tag)
     return naturalness.scan_missing(cut, readers.cached(spark, root, tag), grams, loo=False).select("idx", F.round("base", 6).alias("base"))
