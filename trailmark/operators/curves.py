@@ -89,13 +89,15 @@ def ranked(scores: DataFrame, keep: Column, keys: tuple[Column, ...]) -> DataFra
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*keys))).where(keep)
 
 
-def lockstep(curves: DataFrame, settings: LockStep = LockStep()) -> DataFrame:
+def lockstep(curves: DataFrame, settings: LockStep = LockStep(), strict: bool = True) -> DataFrame:
     """The k samples of each run to remove, in order: candidates first, ties to clean samples and then lower ids.
 
-    Raises if a run has fewer than four epochs or a sample lacks one of its run's epochs.
+    strict: raises if a run has fewer than four epochs or a sample lacks one of its run's epochs. Else a step from or to an
+    epoch that a sample lacks counts 0, and without the fourth epoch its score is null, behind all others.
     """
     first = saved(first_epochs(saved(curves), settings.epochs))
-    check_epochs(first)
+    if strict:
+        check_epochs(first)
     scores = lockstep_scores(saved(lockstep_terms(first)), settings)
     keys = (F.col("candidate").desc(), F.col("score").desc(), F.col("is_poisoned"), F.col("idx"))
     return ranked(scores, F.col("rank") <= settings.k, keys)
