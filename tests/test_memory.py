@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import pyarrow as pa
 
+from trailmark import session
 from trailmark.functions import udfs
 from trailmark.operators import metrics
 
@@ -46,3 +47,14 @@ def test_common_ends_are_cut_off_before_a_common_subsequence(monkeypatch):
     seen = []
     monkeypatch.setattr(udfs, "_lcs", lambda a, b: seen.append((a, b)) or 0)
     assert udfs.lcs("a" + "x" * 100_000, "x" * 100_000) == 100_000 and len(seen[0][0]) + len(seen[0][1]) == 1
+
+
+def test_tables_of_a_fit_are_deleted_but_for_the_result(spark):
+    made = []
+    with session.freed(spark):
+        made.append(session.saved(spark.range(3)))
+        made.append(session.saved(made[0].selectExpr("id + 1 AS id")))
+    inner, result = made
+    assert sorted(r.id for r in result.collect()) == [1, 2, 3]
+    at, fs = session._file_system(spark, inner._trailmark_path)
+    assert not fs.exists(at) and not session._inner
