@@ -57,3 +57,14 @@ def test_a_block_counts_few_pairs_at_a_time(monkeypatch, most):
             got |= some
         n = [Counter(t for s in samples for t in s[k] or []) for k in (0, 1)]
         assert got == {(c, t): v for (c, t), v in cells_of(samples).items() if n[0][c] >= least and n[1][t] >= least}
+
+
+def test_biased_pairs_shuffle_no_pairs_and_agree_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(naturalness, "PIECE", 40)
+    samples = drawn() + [(["aé", "all"], ["tr", "q"])] * 30
+    df = spark.createDataFrame(samples, "code_toks array<string>, target_toks array<string>").repartition(3)
+    taken, inner = [], naturalness.saved
+    monkeypatch.setattr(naturalness, "saved", lambda d: taken.append(d._jdf.queryExecution().executedPlan().toString()) or inner(d))
+    got = [sorted(map(tuple, naturalness.bias_pairs(df, naturalness.Naturalness(scale=0.05, z=1.0), grid).collect())) for grid in ((1, 1), (3, 2), (16, 4))]
+    assert got[0] == got[1] == got[2] and got[0]
+    assert taken and not any("explode" in plan for plan in taken)
